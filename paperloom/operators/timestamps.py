@@ -53,7 +53,7 @@ def _history(name: str) -> list[tuple[int, int]]:
 
     begin = int((dt.datetime(FIRST_YEAR - 1, 1, 1) - _EPOCH).total_seconds())
     end = int((dt.datetime(LAST_YEAR + 1, 12, 1) - _EPOCH).total_seconds())
-    step = 14 * 86400
+    step = 28 * 86400
     found, before, now = [(begin, offset(begin))], offset(begin), begin
     while now < end:
         after = offset(now + step)
