@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 from paperloom.llm.encode import encode_documents
 from paperloom.llm.leaks import find_leaks
 from paperloom.llm.lookalike import add_canonical, lookalike_pairs
+from paperloom.llm.sentences import sentence_units, train
 from paperloom.tables import delivered_once, table
 
 
@@ -30,6 +31,17 @@ def p9_found(spark: SparkSession, sf_dir: str) -> DataFrame:
     return find_leaks(table(spark, sf_dir, "documents"), table(spark, sf_dir, "eval_items"))
 
 
-QUERIES = {f.__name__: f for f in (p1_found, p8_ids, p9_found)}
+def p10_sentences(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents")
+    return sentence_units(docs, train(docs))
+
+
+def p10_found(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents")
+    plain = docs.where("markup = 'plain' and text <> ''")
+    return sentence_units(plain, train(docs)).select("doc_id", "sent_end").dropDuplicates()
+
+
+QUERIES = {f.__name__: f for f in (p1_found, p8_ids, p9_found, p10_found, p10_sentences)}
 
 SQL: dict[str, str] = {}
