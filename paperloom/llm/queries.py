@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 from paperloom.llm.encode import encode_documents
 from paperloom.llm.leaks import find_leaks
 from paperloom.llm.lookalike import add_canonical, lookalike_pairs
+from paperloom.llm.pieces import cut_texts
 from paperloom.llm.sentences import sentence_units, train
 from paperloom.tables import delivered_once, table
 
@@ -23,6 +24,23 @@ def p1_found(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+def p3_pieces(spark: SparkSession, sf_dir: str) -> DataFrame:
+    texts = delivered_once(table(spark, sf_dir, "inspections"), "inspection_id", "full_text")
+    arms = delivered_once(table(spark, sf_dir, "chunk_merge_arms"), "arm_id", "inspection_id", "soft_budget", "overlap_chars")
+    return cut_texts(texts, arms, "inspection_id", "full_text", "arm_id", "soft_budget", "overlap_chars")
+
+
+def p3_found(spark: SparkSession, sf_dir: str) -> DataFrame:
+    # The last piece of a text that had to be cut.
+    return p3_pieces(spark, sf_dir).where("pieces > 1 and piece_no = pieces - 1").select("arm_id")
+
+
+def p3_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    made = p3_pieces(spark, sf_dir).where("piece_no = pieces - 1").select("arm_id", "pieces")
+    arms = delivered_once(table(spark, sf_dir, "chunk_merge_arms"), "arm_id", "chunks_used")
+    return arms.join(made, "arm_id", "left").select("arm_id", "chunks_used", "pieces")
+
+
 def p8_ids(spark: SparkSession, sf_dir: str) -> DataFrame:
     return encode_documents(table(spark, sf_dir, "documents"))
 
@@ -42,6 +60,11 @@ def p10_found(spark: SparkSession, sf_dir: str) -> DataFrame:
     return sentence_units(plain, train(docs)).select("doc_id", "sent_end").dropDuplicates()
 
 
-QUERIES = {f.__name__: f for f in (p1_found, p8_ids, p9_found, p10_found, p10_sentences)}
+QUERIES = {f.__name__: f for f in (p1_found, p3_found, p3_pieces, p3_counts, p8_ids, p9_found, p10_found, p10_sentences)}
 
-SQL: dict[str, str] = {}
+SQL: dict[str, str] = {
+    "p3_found": """
+        select arm_id from (select distinct arm_id, inspection_id, soft_budget from chunk_merge_arms)
+        join (select inspection_id, any_value(full_text) as full_text from inspections group by 1) using (inspection_id)
+        where length(full_text) > soft_budget and soft_budget >= 1""",
+}
