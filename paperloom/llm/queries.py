@@ -9,6 +9,7 @@ from paperloom.llm.encode import encode_documents
 from paperloom.llm.leaks import find_leaks
 from paperloom.llm.lookalike import add_canonical, lookalike_pairs
 from paperloom.llm.pieces import cut_texts
+from paperloom.llm.scans import count_lexicon, repaired, repairs
 from paperloom.llm.sentences import sentence_units, train
 from paperloom.tables import delivered_once, table
 
@@ -41,6 +42,22 @@ def p3_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     return arms.join(made, "arm_id", "left").select("arm_id", "chunks_used", "pieces")
 
 
+def _scans(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, dict[str, int]]:
+    texts = table(spark, sf_dir, "inspections")
+    # A redelivered text counts once in what is reported; in the lexicon's shares it is noise.
+    return delivered_once(texts, "inspection_id", "full_text"), count_lexicon(texts, "full_text")
+
+
+def p4_found(spark: SparkSession, sf_dir: str) -> DataFrame:
+    texts, lexicon = _scans(spark, sf_dir)
+    return repairs(texts, "inspection_id", "full_text", lexicon)
+
+
+def p4_paragraphs(spark: SparkSession, sf_dir: str) -> DataFrame:
+    texts, lexicon = _scans(spark, sf_dir)
+    return repaired(texts, "inspection_id", "full_text", lexicon)
+
+
 def p8_ids(spark: SparkSession, sf_dir: str) -> DataFrame:
     return encode_documents(table(spark, sf_dir, "documents"))
 
@@ -60,7 +77,7 @@ def p10_found(spark: SparkSession, sf_dir: str) -> DataFrame:
     return sentence_units(plain, train(docs)).select("doc_id", "sent_end").dropDuplicates()
 
 
-QUERIES = {f.__name__: f for f in (p1_found, p3_found, p3_pieces, p3_counts, p8_ids, p9_found, p10_found, p10_sentences)}
+QUERIES = {f.__name__: f for f in (p1_found, p3_found, p3_pieces, p3_counts, p4_found, p4_paragraphs, p8_ids, p9_found, p10_found, p10_sentences)}
 
 SQL: dict[str, str] = {
     "p3_found": """
