@@ -335,7 +335,7 @@ def _close(a: str, b: str) -> bool:
 
 
 # Digits with a letter read for one of them; a capital and digits alone are a code.
-_NUMBER_MISREAD = re.compile(r"(?![A-HJ-NP-Z]\d+(?![\w.,]\w))(?<![\w@./-])(?=[\dOolISBZ.,]*\d)(?=\d*[.,]?\d*[OolISBZ])\d*[OolISBZ]?\d+[OolISBZ]?\d*(?:[.,][\dOolISBZ]+)?(?![\w@-])")
+_NUMBER_MISREAD = re.compile(r"(?!\d{7,}[A-Z])(?![A-HJ-NP-Z]\d+(?![\w.,]\w))(?<![\w@./-])(?=[\dOolISBZ.,]*\d)(?=\d*[.,]?\d*[OolISBZ])\d*[OolISBZ]?\d+[OolISBZ]?\d*(?:[.,][\dOolISBZ]+)?(?![\w@-])")
 
 
 def repair(text: str, decoder: Decoder) -> tuple[list[str], list[tuple[int, str]]]:
