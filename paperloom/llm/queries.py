@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 from paperloom.llm.encode import encode_documents
 from paperloom.llm.leaks import find_leaks
 from paperloom.llm.lookalike import add_canonical, lookalike_pairs
+from paperloom.llm.personal import find_personal, redact
 from paperloom.llm.pieces import cut_texts
 from paperloom.llm.scans import count_lexicon, repaired, repairs
 from paperloom.llm.sentences import sentence_units, train
@@ -58,6 +59,24 @@ def p4_paragraphs(spark: SparkSession, sf_dir: str) -> DataFrame:
     return repaired(texts, "inspection_id", "full_text", lexicon)
 
 
+def _mentions(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame]:
+    texts = delivered_once(table(spark, sf_dir, "inspections"), "inspection_id", "full_text")
+    known = table(spark, sf_dir, "identity_documents")
+    names = known.select(F.col("full_name").alias("seed"))
+    numbers = known.select(F.col("document_number").alias("seed"))
+    return texts, find_personal(texts, "inspection_id", "full_text", names, numbers)
+
+
+def p7_found(spark: SparkSession, sf_dir: str) -> DataFrame:
+    _, mentions = _mentions(spark, sf_dir)
+    return mentions.select(F.col("id").alias("inspection_id"), "pii_kind", "surface").distinct()
+
+
+def p7_redacted(spark: SparkSession, sf_dir: str) -> DataFrame:
+    texts, mentions = _mentions(spark, sf_dir)
+    return redact(texts, "inspection_id", "full_text", mentions)
+
+
 def p8_ids(spark: SparkSession, sf_dir: str) -> DataFrame:
     return encode_documents(table(spark, sf_dir, "documents"))
 
@@ -77,7 +96,7 @@ def p10_found(spark: SparkSession, sf_dir: str) -> DataFrame:
     return sentence_units(plain, train(docs)).select("doc_id", "sent_end").dropDuplicates()
 
 
-QUERIES = {f.__name__: f for f in (p1_found, p3_found, p3_pieces, p3_counts, p4_found, p4_paragraphs, p8_ids, p9_found, p10_found, p10_sentences)}
+QUERIES = {f.__name__: f for f in (p1_found, p3_found, p3_pieces, p3_counts, p4_found, p4_paragraphs, p7_found, p7_redacted, p8_ids, p9_found, p10_found, p10_sentences)}
 
 SQL: dict[str, str] = {
     "p3_found": """

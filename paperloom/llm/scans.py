@@ -54,8 +54,9 @@ def lexicon_words(text: str) -> Iterator[str]:
             yield m[0].lower().replace("‐", "-").replace("‑", "-")
 
 
-def count_lexicon(df: DataFrame, text: str) -> dict[str, int]:
-    """Word counts over all texts, of the words that reach the share.
+def count_lexicon(df: DataFrame, text: str, words=lexicon_words) -> dict[str, int]:
+    """Word counts over all texts, of the words that reach the share.  ``words`` gives the
+    words of a text.
 
     The share bounds the result to 1 / LEAST_SHARE words whatever the corpus; single
     letters and words of digits alone are no entries.
@@ -66,7 +67,7 @@ def count_lexicon(df: DataFrame, text: str) -> dict[str, int]:
             seen: Counter = Counter()
             for value in batch.column(0):
                 if value.is_valid:
-                    seen.update(lexicon_words(value.as_py()))
+                    seen.update(words(value.as_py()))
             yield pa.RecordBatch.from_arrays([pa.array(list(seen), pa.string()), pa.array(list(seen.values()), pa.int64())], names=["word", "n"])
 
     counts = df.select(text).mapInArrow(run, "word string, n bigint").groupBy("word").agg(F.sum("n").alias("n"))
