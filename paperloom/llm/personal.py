@@ -223,8 +223,8 @@ def find_personal(df: DataFrame, key: str, text: str, seed_names: DataFrame, see
     tokens = seed_names.select(F.explode(F.split(F.lower("seed"), r"[\s,]+")).alias("token")).where("length(token) > 1").distinct()
     parts = instances.where("kind = 'person'").select("instance", F.explode(F.array_distinct(F.split("instance", r"[\s,]+"))).alias("token")).where("length(rtrim('.', token)) > 1")
     named = parts.join(tokens.withColumn("hit", F.lit(1)), "token", "left").groupBy("instance").agg((F.sum(F.coalesce("hit", F.lit(0))) / F.count("*")).alias("share"))
-    # A name made of known parts only is a seed; one with some is a little more likely.
-    people = named.select("instance", F.lit("person").alias("kind"), F.when(F.col("share") == 1, 0.95).otherwise(F.col("share") * 0.3).alias("known"))
+    # A name made of known parts only is a seed; one with some is likely.
+    people = named.select("instance", F.lit("person").alias("kind"), F.when(F.col("share") == 1, 0.95).when(F.col("share") >= 0.3, 0.7).otherwise(0.0).alias("known"))
     seeded = instances.join(numbers.unionByName(people), ["kind", "instance"], "left")
     state = checkpointed(seeded.select("kind", "instance", F.greatest("prior", F.coalesce("known", F.lit(0.0))).alias("seed")).withColumn("score", F.col("seed")))
 

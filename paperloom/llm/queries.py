@@ -6,6 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from paperloom.llm.encode import encode_documents
+from paperloom.llm.entities import link_names
 from paperloom.llm.leaks import find_leaks
 from paperloom.llm.lookalike import add_canonical, lookalike_pairs
 from paperloom.llm.personal import find_personal, redact
@@ -26,6 +27,20 @@ def p1_found(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+def p2_links(spark: SparkSession, sf_dir: str) -> DataFrame:
+    def of(name: str, key: str, field: str) -> DataFrame:
+        return delivered_once(table(spark, sf_dir, name), key, field).select(F.lit(name).alias("src"), F.col(key).alias("record_id"), F.col(field).alias("written"))
+
+    records = of("receipts", "receipt_id", "merchant").unionByName(of("invoices", "invoice_id", "vendor"))
+    return link_names(records, "written", table(spark, sf_dir, "organisations"))
+
+
+def p2_found(spark: SparkSession, sf_dir: str) -> DataFrame:
+    register = table(spark, sf_dir, "organisations").select("org_id", "registered_name")
+    linked = p2_links(spark, sf_dir).where("org_id is not null")
+    return linked.join(F.broadcast(register), "org_id").where("written <> registered_name").select("src", "record_id", "org_id")
+
+
 def p3_pieces(spark: SparkSession, sf_dir: str) -> DataFrame:
     texts = delivered_once(table(spark, sf_dir, "inspections"), "inspection_id", "full_text")
     arms = delivered_once(table(spark, sf_dir, "chunk_merge_arms"), "arm_id", "inspection_id", "soft_budget", "overlap_chars")
@@ -96,7 +111,7 @@ def p10_found(spark: SparkSession, sf_dir: str) -> DataFrame:
     return sentence_units(plain, train(docs)).select("doc_id", "sent_end").dropDuplicates()
 
 
-QUERIES = {f.__name__: f for f in (p1_found, p3_found, p3_pieces, p3_counts, p4_found, p4_paragraphs, p7_found, p7_redacted, p8_ids, p9_found, p10_found, p10_sentences)}
+QUERIES = {f.__name__: f for f in (p1_found, p2_found, p2_links, p3_found, p3_pieces, p3_counts, p4_found, p4_paragraphs, p7_found, p7_redacted, p8_ids, p9_found, p10_found, p10_sentences)}
 
 SQL: dict[str, str] = {
     "p3_found": """
