@@ -31,7 +31,7 @@ def trimmed(text: Column) -> Column:
 def _accents() -> tuple[str, str]:
     """Accented letters that decompose to one letter and marks, and those letters; by rule."""
     source, target = [], []
-    for code in (*range(0xC0, 0x250), *range(0x1E00, 0x2000)):
+    for code in (*range(0xC0, 0x250), *range(0x370, 0x530), *range(0x1E00, 0x2000)):
         parts = unicodedata.normalize("NFD", chr(code))
         if len(parts) > 1 and all(unicodedata.combining(c) for c in parts[1:]):
             source.append(chr(code))

@@ -13,6 +13,7 @@ from collections.abc import Callable, Iterator
 import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.types import StringType, StructField, StructType
 from pyspark.sql.window import Window
 
 from paperloom.functions.text import trimmed
@@ -63,7 +64,7 @@ def canned(answers: list[str]) -> Generate:
 
 def generated(rows: DataFrame, key: str, generate: Generate, attempt: int) -> DataFrame:
     """``rows`` (with ``prompt``) and the model's ``raw`` text."""
-    schema = rows.schema.add("raw", "string")
+    schema = StructType([*rows.schema.fields, StructField("raw", StringType())])
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for batch in batches:

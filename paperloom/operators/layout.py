@@ -133,7 +133,7 @@ def header_row(cells: Column) -> Column:
 def markdown(rows: Column, header: Column) -> Column:
     """A table as Markdown from an array of rows (arrays of cells); without a heading row the
     heading is blank."""
-    clean = lambda c: F.regexp_replace(F.regexp_replace(F.coalesce(c, F.lit("")), r"\|", r"\\\\|"), r"[\r\n]+", " ")
+    clean = lambda c: F.regexp_replace(F.regexp_replace(F.coalesce(c, F.lit("")), r"\|", r"\\|"), r"[\r\n]+", " ")
     line = lambda cells: F.concat(F.lit("| "), F.array_join(F.transform(cells, clean), " | "), F.lit(" |"))
     width = F.size(F.element_at(rows, 1))
     blank, rule = F.array_repeat(F.lit(""), width), F.concat(F.lit("| "), F.array_join(F.array_repeat(F.lit("---"), width), " | "), F.lit(" |"))

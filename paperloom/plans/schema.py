@@ -55,9 +55,9 @@ class Schema:
         return Schema("array", description, items=items)
 
     @staticmethod
-    def record(title: str = "", description: str = "", **properties: "Schema") -> "Schema":
+    def record(title: str = "", about: str = "", /, **properties: "Schema") -> "Schema":
         required = tuple(k for k, v in properties.items() if not v.nullable)
-        return Schema("object", description, title, dict(properties), required)
+        return Schema("object", about, title, dict(properties), required)
 
     def optional(self) -> "Schema":
         note = "May be null."
