@@ -212,9 +212,11 @@ def _corridor(boxes: list[Box]) -> float | None:
     if not gaps:
         return None
     gap, cut = max(gaps)
+    if gap < CORRIDOR:
+        return None
     left, right = [b for b in boxes if b.x + b.w / 2 < cut], [b for b in boxes if b.x + b.w / 2 >= cut]
     free = min(b.x for b in right) - max(b.x + b.w for b in left)
-    if gap < CORRIDOR or free < CORRIDOR:
+    if free < CORRIDOR:
         return None
     spans = [(min(b.y for b in s), max(b.y + b.h for b in s)) for s in (left, right)]
     overlap = min(spans[0][1], spans[1][1]) - max(spans[0][0], spans[1][0])
