@@ -154,7 +154,8 @@ def contexts_of(kind: str, text: str, begin: int, end: int) -> list[str]:
         while left and left[-1] in (".", *_TITLE_FOLDS) and (left[-1] != "." or len(left) > 1 and left[-2] in _TITLE_FOLDS):
             left.pop()
     right = [_folded(w) for w in _CONTEXT.findall(text[end:end + REACH])[:2]]
-    out = ["m:" + mask_of(kind, text[begin:end])]
+    # A mask speaks only where it tells candidates of one kind apart.
+    out = ["m:" + mask_of(kind, text[begin:end])] if kind in ("phone", "id_number") else []
     # Only contexts with a word in them say anything; marks and numbers stand everywhere.
     spoken = lambda words: any(len(w) > 1 for w in words)
     out += [f"l{n}:" + " ".join(left[-n:]) for n in (1, 2, 3) if len(left) >= n and spoken(left[-n:])]

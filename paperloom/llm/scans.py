@@ -212,7 +212,10 @@ def fold(text: str) -> str:
     return s.translate(str.maketrans("cioftb", "elatth"))
 
 
-_FURNITURE_NUMBER = re.compile(r"^\W*(?:([^\W\d_]{1,6})\W{0,2}\s*)?([0-9OoQDlI|iSsZzBgqA]{1,5})\s*(?:(/|[^\W\d_]{1,3})\s*([0-9OoQDlI|iSsZzBgqA]{1,5}))?\s*([页頁])?\W*$")
+_DIGITS = r"[0-9OoQDlI|iSsZzBgqA]{1,5}"
+_TAIL = rf"({_DIGITS})\s*(?:(/|[^\W\d_]{{1,3}})\s*({_DIGITS}))?\s*([页頁])?\W*$"
+# A number first, then one behind a word; a misread digit must not be taken for the word.
+_FURNITURE_NUMBERS = (re.compile(rf"^\W*(){_TAIL}"), re.compile(rf"^\W*([^\W\d_]{{1,6}})\W{{0,2}}\s*{_TAIL}"))
 
 
 def page_number(line: str) -> tuple[str, int] | None:
@@ -220,16 +223,18 @@ def page_number(line: str) -> tuple[str, int] | None:
     s = unicodedata.normalize("NFKC", line).strip()
     if not s or len(s) > 24:
         return None
-    m = _FURNITURE_NUMBER.match(s)
-    if not m:
-        return None
-    word, number, of, total, after = m.groups()
-    value = number_of(number)
-    if value is None:
-        return None
-    if word and fold(word) not in _PAGE_FOLDS:
-        return None
-    if of and (fold(of) not in _OF_FOLDS and of != "/" or number_of(total) is None):
+    for shape in _FURNITURE_NUMBERS:
+        m = shape.match(s)
+        if not m:
+            continue
+        word, number, of, total, after = m.groups()
+        value = number_of(number)
+        if value is None or word and fold(word) not in _PAGE_FOLDS:
+            continue
+        if of and (fold(of) not in _OF_FOLDS and of != "/" or number_of(total) is None):
+            continue
+        break
+    else:
         return None
     if s[-1] == "." and not word and not of:
         return None
