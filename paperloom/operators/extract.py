@@ -17,7 +17,9 @@ from pyspark.sql.types import StringType, StructField, StructType
 from pyspark.sql.window import Window
 
 from paperloom.functions.text import trimmed
-from paperloom.operators.json_text import decode_errors, found_object
+from paperloom.operators.chunk import chunk_documents
+from paperloom.operators.json_text import decode_errors, found_object, partial_record
+from paperloom.operators.merge import merge_documents
 from paperloom.plans.schema import Schema
 from paperloom.session import checkpointed
 
@@ -73,13 +75,14 @@ def generated(rows: DataFrame, key: str, generate: Generate, attempt: int) -> Da
     return rows.mapInPandas(run, schema)
 
 
-def attempt_loop(docs: DataFrame, key: str, schema: Schema, generate: Generate, invariants: Callable[[Column], Column] | None = None, max_retries: int = MAX_RETRIES, images: Column | None = None, sees_images: bool = True) -> DataFrame:
+def attempt_loop(docs: DataFrame, key: str, schema: Schema, generate: Generate, invariants: Callable[[Column], Column] | None = None, max_retries: int = MAX_RETRIES, images: Column | None = None, sees_images: bool = True, first: DataFrame | None = None) -> DataFrame:
     """All attempts of all documents: ``key, attempt, raw, json, status, issues, errors``.
 
     A document whose text is blank is not asked for ('emptyDocument'), nor one with images
     for a model that sees none ('cannotReadImages').  A blank answer ends a document
     ('emptyResponse'); an answer that does not decode ('failed') or breaks an invariant
-    ('rejected') is asked again with the reasons, up to ``max_retries`` more times.
+    ('rejected') is asked again with the reasons, up to ``max_retries`` more times.  With
+    ``first`` (``key, json``) the attempt 0 is that record, for which nothing is generated.
     """
     kind = dict(docs.dtypes)[key]
     base = docs.select(key, "text", (images if images is not None else F.lit(False)).alias("_images"))
@@ -89,8 +92,11 @@ def attempt_loop(docs: DataFrame, key: str, schema: Schema, generate: Generate,
     done = base.where(refused.isNotNull()).select(key, F.lit(0).alias("attempt"), F.lit(None).cast("string").alias("raw"), F.lit(None).cast("string").alias("json"), refused.alias("status"), F.array().cast(nothing).alias("issues"), F.array().cast("array<string>").alias("errors"))
     todo = base.where(refused.isNull()).select(key, "text", F.lit("").alias("repair"))
     for attempt in range(max(1, max_retries + 1)):
-        asked = todo.withColumn("prompt", prompt(schema, F.col("text"), repair=F.col("repair")))
-        answered = generated(asked, key, generate, attempt).withColumn("json", found_object(F.col("raw")))
+        if attempt == 0 and first is not None:
+            answered = todo.join(first.select(key, F.col("json").alias("raw")), key, "left").withColumn("json", F.col("raw"))
+        else:
+            asked = todo.withColumn("prompt", prompt(schema, F.col("text"), repair=F.col("repair")))
+            answered = generated(asked, key, generate, attempt).withColumn("json", found_object(F.col("raw")))
         answered = answered.withColumn("errors", F.when(F.col("json").isNull(), F.array(F.lit("the answer holds no JSON object"))).otherwise(decode_errors(F.col("json"), schema)))
         checked = invariants(F.col("json")) if invariants is not None else F.array().cast(nothing)
         answered = answered.withColumn("issues", F.when(F.size("errors") == 0, checked).otherwise(F.array().cast(nothing)))
@@ -101,6 +107,20 @@ def attempt_loop(docs: DataFrame, key: str, schema: Schema, generate: Generate,
     return done.withColumn(key, F.col(key).cast(kind))
 
 
+def chunked_extraction(docs: DataFrame, key: str, schema: Schema, generate: Generate, budget: Column, invariants: Callable[[Column], Column] | None = None, max_retries: int = MAX_RETRIES) -> DataFrame:
+    """Attempts of documents that are read in chunks: a partial record per chunk, merged
+    deterministically into attempt 0, then repairs on the whole document.  The columns of
+    ``attempt_loop`` and ``chunks_used``."""
+    pages = docs.select(key, F.split("text", "\n\n").alias("pages"), budget.alias("_budget"))
+    chunks = chunk_documents(pages, key, "pages", F.col("_budget"))
+    asked = chunks.withColumn("prompt", prompt(schema, F.col("chunk"), partial=True))
+    partials = checkpointed(generated(asked, key, generate, 0).select(key, F.col("chunk_ix").alias("chunk"), partial_record(F.col("raw")).alias("json")))
+    merged = merge_documents(partials, docs, key).select(key, F.col("merged").alias("json"))
+    used = partials.groupBy(key).agg(F.count("*").cast("int").alias("chunks_used"))
+    attempts = attempt_loop(docs, key, schema, generate, invariants, max_retries, first=merged)
+    return attempts.join(used, key, "left").fillna(0, ["chunks_used"])
+
+
 def outcome(attempts: DataFrame, key: str, policy: str = "strict") -> DataFrame:
     """One row per document: ``key, status, json, attempts, issues``.
 

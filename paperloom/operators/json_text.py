@@ -16,7 +16,7 @@ from pyspark.sql import Column
 from pyspark.sql import functions as F
 from pyspark.sql.types import StringType
 
-from paperloom.functions.coerce import to_boolean, to_enum
+from paperloom.functions.coerce import coerce_leaf, to_boolean, to_enum
 from paperloom.functions.dates import from_epoch, parse_moment
 from paperloom.functions.numbers import as_integer, parse_decimal
 from paperloom.functions.text import trimmed
@@ -269,6 +269,23 @@ def _typed(raw: Column, node: Schema, locale: Column | None) -> Column:
     return to_enum(raw, list(node.values)) if node.values else trimmed(raw)
 
 
+def coerced(json_column: Column, schema: Schema, locale: Column | None = None) -> Column:
+    """A dynamic record brought to its schema, as JSON text: keys that are not in it dropped,
+    numbers as strings where a string is wanted and the other way round, dates as
+    ``yyyy-MM-dd`` or ISO, enumerations in their own spelling; what cannot be is null."""
+    return F.to_json(_coerced(F.from_json(json_column, schema.raw_type()), schema, locale), {"ignoreNullFields": "false"})
+
+
+def _coerced(raw: Column, node: Schema, locale: Column | None) -> Column:
+    if node.kind == "object":
+        return F.when(raw.isNotNull(), F.struct(*[_coerced(raw[name], below, locale).alias(name) for name, below in node.properties.items()]))
+    if node.kind == "array":
+        return F.transform(raw, lambda x: _coerced(x, node.items, locale))
+    kind = "enum" if node.values else node.format or node.kind
+    leaf = coerce_leaf(raw, kind, locale, list(node.values))
+    return leaf.try_cast(node.spark_type()) if node.kind in ("number", "integer", "boolean") else leaf
+
+
 def decode_errors(json_column: Column, schema: Schema, locale: Column | None = None) -> Column:
     """Messages for the top-level scalars of a record that are missing or unreadable."""
     raw = F.from_json(json_column, schema.raw_type())

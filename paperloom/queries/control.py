@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 
 from paperloom.operators import extract
 from paperloom.operators.evaluate import issues
+from paperloom.operators.json_text import coerced
 from paperloom.plans.schema import EVAL_INVOICE, INVOICE, Schema
 from paperloom.queries.rendered import SQL_DOCUMENTS, documents
 from paperloom.sources import files
@@ -53,6 +54,30 @@ def reported_outcomes(spark: SparkSession, sf_dir: str) -> DataFrame:
     return done.select("doc_id", "status", "attempts", F.coalesce(F.size("issues"), F.lit(0)).alias("issues"))
 
 
+def _by_chunk(keys: pd.Series, prompts: pd.Series, attempt: int) -> pd.Series:
+    """Each chunk gives the last amount it shows as the total."""
+    import re
+
+    return pd.Series(['{"number": "INV-%d", "total": "%s"}' % (k, (re.findall(r"\d+\.\d\d", p) or ["0"])[-1]) for k, p in zip(keys, prompts)], dtype="object")
+
+
+def chunked_outcomes(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Invoices read in chunks of 120 characters; the better grounded total holds."""
+    docs = documents(spark, sf_dir).select("doc_id", F.regexp_replace("text", "\n", "\n\n").alias("text"))
+    done = extract.chunked_extraction(docs, "doc_id", ORDER, _by_chunk, F.lit(120))
+    return done.select("doc_id", "attempt", "status", F.get_json_object("json", "$.number").alias("number"), "chunks_used")
+
+
+def dynamic_coerce(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Orders as loose JSON brought to a schema at run time."""
+    loose = Schema.record("Loose", key=Schema.integer(), total=Schema.number(), day=Schema.string(format="date"), open=Schema.boolean(), status=Schema.string(values=("o", "f", "p")), note=Schema.string())
+    o = table(spark, sf_dir, "orders")
+    made = F.to_json(F.struct(F.col("o_orderkey").cast("string").alias("key"), F.format_number(F.col("o_totalprice").cast("decimal(18,2)"), 2).alias("total"), F.date_format("o_orderdate", "MM/dd/yyyy").alias("day"), F.when(F.col("o_orderkey") % 2 == 0, "yes").otherwise("0").alias("open"), F.col("o_orderstatus").alias("status"), (F.col("o_orderkey") % 3).alias("note"), F.lit("x").alias("dropped")))
+    got = o.select("o_orderkey", coerced(made, loose).alias("j"))
+    parts = {k: F.get_json_object("j", f"$.{k}").alias(k) for k in ("key", "day", "open", "status", "note", "dropped")}
+    return got.select("o_orderkey", *parts.values(), F.get_json_object("j", "$.total").cast("decimal(18,2)").alias("total"))
+
+
 def prompts(spark: SparkSession, sf_dir: str) -> DataFrame:
     d = documents(spark, sf_dir)
     made = extract.prompt(INVOICE, F.col("text"), locale=F.when(F.col("doc_id") % 2 == 0, F.lit("de_DE")), tables=F.when(F.col("doc_id") % 3 == 0, F.lit("| a |")), repair=F.when(F.col("doc_id") % 5 == 0, F.lit("field `total`: wrong")))
@@ -116,7 +141,7 @@ def schema_leaves(spark: SparkSession, sf_dir: str) -> DataFrame:
     return spark.createDataFrame(rows, "record string, ix int, path string, kind string, collection boolean")
 
 
-QUERIES = {f.__name__: f for f in (attempt_rows, strict_outcomes, reported_outcomes, prompts, partial_stream_batch, stream_final_parity, invoice_xml, file_kinds, inspect_documents, schema_leaves)}
+QUERIES = {f.__name__: f for f in (attempt_rows, strict_outcomes, reported_outcomes, chunked_outcomes, dynamic_coerce, prompts, partial_stream_batch, stream_final_parity, invoice_xml, file_kinds, inspect_documents, schema_leaves)}
 
 _OUTCOME = """o as (select o_orderkey as doc_id, o_orderkey % 17 = 0 as blank, o_orderkey % 6 as k from orders)"""
 
@@ -125,6 +150,7 @@ SQL = {
         generate_subscripts(case when blank or k in (0, 3) then [1] when k = 1 then [1, 2] else [1, 2, 3] end, 1) - 1 as attempt from o) select doc_id, attempt::int as attempt, status from n""",
     "strict_outcomes": f"with {_OUTCOME} select doc_id, case when blank then 'emptyDocument' when k < 3 then 'accepted' when k = 3 then 'emptyResponse' when k = 4 then 'rejected' else 'failed' end as status, case when blank or k in (0, 3) then 1 when k = 1 then 2 else 3 end as attempts from o",
     "reported_outcomes": f"with {_OUTCOME} select doc_id, case when blank then 'emptyDocument' when k < 3 then 'accepted' when k = 3 then 'emptyResponse' when k = 4 then 'rejected' else 'failed' end as status, case when blank or k in (0, 3) then 1 when k = 1 then 2 else 3 end as attempts, case when not blank and k = 4 then 1 else 0 end as issues from o",
+    "dynamic_coerce": """select o_orderkey, o_orderkey::varchar as key, strftime(o_orderdate, '%Y-%m-%d') as day, case when o_orderkey % 2 = 0 then 'true' else 'false' end as open, lower(o_orderstatus) as status, (o_orderkey % 3)::varchar as note, null::varchar as dropped, o_totalprice::decimal(18,2) as total from orders""",
     "prompts": f"with {SQL_DOCUMENTS} select doc_id, doc_id % 3 = 0 as tables, doc_id % 5 = 0 as repair, doc_id % 2 = 0 as locale, true as closed from docs",
     "stream_final_parity": f"with {SQL_DOCUMENTS} select doc_id, p_number as number, seller from docs where p_number is not null",
     "invoice_xml": f"with {SQL_DOCUMENTS} select doc_id, number as invoice_number, 'EUR' as currency, seller, issued, total as grand_total, 0::decimal(18,2) as tax_total, 1 as lines, total as line_total from docs",

