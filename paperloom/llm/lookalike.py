@@ -18,6 +18,8 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from paperloom.session import checkpointed
+
 # Cyrillic and Greek letters drawn like Latin ones, and those Latin ones.
 LOOKALIKES = dict(zip(
     "АВЕЅІЈКМНОРСТУХҺԚԜаеіјорсухѕһԁԛԝӏ" "ΑΒΕΖΗΙΚΜΝΟΡΤΥΧαινορυϲϳ" "Ғӓӧ",
@@ -229,6 +231,9 @@ def lookalike_pairs(df: DataFrame, key: str, scope: str, text: str) -> DataFrame
         df.select(F.col(key).alias("id"), F.col(scope).alias("scope"), F.col(text).alias("stored")).where("id is not null and scope is not null and stored is not null"),
         {"stored": "form"},
     )
+    # From here on 128-bit digests stand for the texts.  The forms are made once.
+    digest = lambda c: F.unhex(F.md5(c)).alias(c)
+    formed = checkpointed(formed.select("id", "scope", digest("form"), digest("stored")))
     classes = formed.groupBy("scope", "form", "stored").agg(F.count("*").alias("_n"))
     several = classes.groupBy("scope", "form").agg(F.count("*").alias("_kinds")).where("_kinds > 1").drop("_kinds")
     kinds = classes.join(several, ["scope", "form"], "left_semi").drop("_n")
