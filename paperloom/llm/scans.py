@@ -39,6 +39,7 @@ _WORD = re.compile(r"[^\W_]+(?:['’|$€][^\W_]+)*")
 _COMPOUND = re.compile(r"[^\W\d_]+(?:[-‐‑][^\W\d_]+)+")
 # Addresses of mail and web, and blobs of characters, hold no words.
 _SKIP = re.compile(r"\S*(?:@|://|www\.|[(\[](?:at|dot)[)\]])\S*|\S+(?= ?[(\[]at[)\]])|[!-~]{30,}")
+_SUSPECT = re.compile(r"@|://|www\.|[(\[](?:at|dot)[)\]]|[!-~]{30}")
 _CJK = re.compile(r"[぀-ヿ㐀-鿿가-힯฀-๿]")
 _CASES = re.compile(r"(?:[^\W\d_]|[0-9|$€]){2,24}")
 
@@ -46,7 +47,7 @@ _CASES = re.compile(r"(?:[^\W\d_]|[0-9|$€]){2,24}")
 def lexicon_words(text: str) -> Iterator[str]:
     for line in text.split("\n"):
         broken = line.rstrip()[-1:] in SOFT_BREAKS + HYPHEN_BREAKS
-        words = _WORD.findall(_SKIP.sub(" ", line))
+        words = _WORD.findall(_mask(line))
         for n, word in enumerate(words):
             if not (broken and n == len(words) - 1) and not word.isdigit() and not _CJK.search(word):
                 yield word.lower()
@@ -83,6 +84,7 @@ class Decoder:
         self.lexicon = lexicon
         self.total = max(sum(lexicon.values()), 1)
         self.known: dict[str, tuple[str, float] | None] = {}
+        self.plain: set[str] = set()  # words of the lexicon that stand as they are
 
     def cost(self, word: str) -> float:
         n = self.lexicon.get(word.lower(), 0)
@@ -154,6 +156,21 @@ class Decoder:
     def decode(self, words: list[str]) -> list[tuple[int, int, str, str]]:
         """Best path over a stream of words: (begin, end, text, what) per edge; what is
         'same', 'misread', 'merge' or 'split'."""
+        n = len(words)
+        if not all(word in self.plain or self._plain(word) for word in words):
+            return self._decode(words)
+        # No other edge leaves or joins words of the lexicon that are no misreadings.
+        return [(i, i + 1, word, "same") for i, word in enumerate(words)]
+
+    def _plain(self, word: str) -> bool:
+        if word.lower() not in self.lexicon or self.corrected(word):
+            return False
+        if len(self.plain) > 400_000:
+            self.plain.clear()
+        self.plain.add(word)
+        return True
+
+    def _decode(self, words: list[str]) -> list[tuple[int, int, str, str]]:
         n = len(words)
         best = [0.0] + [math.inf] * n
         back: list[tuple | None] = [None] * (n + 1)
@@ -388,8 +405,8 @@ def repair(text: str, decoder: Decoder) -> tuple[list[str], list[tuple[int, str]
                 head_cut[nxt] = tail.start(1) + len(rest)
                 tail_join = whole
         part = line[begin:end]
-        out, last = [], 0
-        spans = [m for m in _WORD.finditer(_mask(part))]
+        out, last, masked = [], 0, _mask(part)
+        spans = [m for m in _WORD.finditer(masked)]
         path = decoder.decode([m[0] for m in spans])
         for i, j, fixed, what in path:
             a, b = spans[i].start(), spans[j - 1].end()
@@ -400,7 +417,7 @@ def repair(text: str, decoder: Decoder) -> tuple[list[str], list[tuple[int, str]
                 noise.add((k, "misread"))
         out.append(part[last:])
         fixed_line = "".join(out)
-        if _NUMBER_MISREAD.search(_mask(part)):
+        if _NUMBER_MISREAD.search(masked):
             noise.add((k, "misread"))
             fixed_line = _NUMBER_MISREAD.sub(lambda m: m[0].translate(DIGIT_FOR), fixed_line)
         made[k] = fixed_line + (tail_join or "")
@@ -410,7 +427,7 @@ def repair(text: str, decoder: Decoder) -> tuple[list[str], list[tuple[int, str]
 
 def _mask(line: str) -> str:
     """The line with addresses of mail and web blanked out, offsets kept."""
-    return _SKIP.sub(lambda m: " " * len(m[0]), line)
+    return _SKIP.sub(lambda m: " " * len(m[0]), line) if _SUSPECT.search(line) else line
 
 
 def _blame(head: str, tail: str, fixed: str, k: int, nxt: int) -> int:
