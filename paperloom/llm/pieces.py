@@ -21,6 +21,8 @@ from pyspark.sql import functions as F
 
 #: Units in a sliding block, hashed word dimensions, units per slab of the curve.
 BLOCK, DIMENSIONS, SLAB = 6, 128, 1 << 14
+#: Groups into which the demands of one text are spread.
+SALTS = 1024
 #: A window reaches from this share of the budget up to the budget.
 FILLED = 0.5
 
@@ -125,10 +127,10 @@ def cut_texts(texts: DataFrame, demands: DataFrame, key: str, text: str, demand:
     budget is made one less.  A piece is longer than its budget in no case.
     """
     held = texts.select(F.col(key).alias("_key"), F.col(text).alias("_text")).where("_key is not null and _text is not null")
-    # The demands of a text travel as one small array, so each text moves once and is
-    # measured once, however many budgets it is cut to.
+    # The demands of a text travel as small arrays, so a text that is asked for a million
+    # times moves SALTS times and is measured as often, and no task holds all its demands.
     asked = (
-        demands.select(F.col(key).alias("_key"), F.struct(F.col(demand).cast("bigint").alias("d"), F.col(budget).cast("bigint").alias("b"), F.col(overlap).cast("bigint").alias("o")).alias("_a"), F.pmod(F.xxhash64(demand), F.lit(16)).alias("_salt"))
+        demands.select(F.col(key).alias("_key"), F.struct(F.col(demand).cast("bigint").alias("d"), F.col(budget).cast("bigint").alias("b"), F.col(overlap).cast("bigint").alias("o")).alias("_a"), F.pmod(F.xxhash64(demand), F.lit(SALTS)).alias("_salt"))
         .where("_key is not null")
         .groupBy("_key", "_salt").agg(F.collect_list("_a").alias("_asked")).drop("_salt")
     )
