@@ -53,7 +53,19 @@ def p6_found(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 QUERIES = {f.__name__: f for f in (p5_found, p5_elements, p5_receipt_items, p5_invoice_lines, p6_found, p6_moments)}
 
+_ARRAY = """case json_type({0}) when 'ARRAY' then json_extract({0}, '$[*]') when 'OBJECT' then [{0}] when 'VARCHAR' then case when json_valid({0}->>'$') then case when json_type(({0}->>'$')::json) = 'ARRAY' then json_extract(({0}->>'$')::json, '$[*]') end end end"""
+
 SQL = {
+    "p5_found": rf"""
+        with r as (select record_id, any_value(payload) as p from raw_results where record_id is not null group by 1),
+        o as (select record_id, regexp_extract(p, '(?s)\{{.*\}}') as t from r), v as (select record_id, t::json as j from o where t <> '' and json_valid(t)),
+        a as (select record_id, unnest([{{'node': 'value.lineItems', 'x': j->'$.value.lineItems'}}, {{'node': 'value.items', 'x': j->'$.value.items'}}, {{'node': 'signals.fields', 'x': j->'$.signals.fields'}}, {{'node': 'signals.mergeConflicts', 'x': j->'$.signals.mergeConflicts'}}, {{'node': 'tables', 'x': j->'$.tables'}}], recursive := true) from v),
+        l as (select record_id, node, {_ARRAY.format("x")} as e from a),
+        f as (select record_id, node, -1 as parent_ix, (generate_subscripts(e, 1) - 1)::int as child_ix, unnest(e) as x from l),
+        k as (select record_id, case node when 'tables' then 'tables.cells' else 'signals.mergeConflicts.values' end as node, child_ix as parent_ix, case node when 'tables' then x->'$.cells' else x->'$.values' end as y from f where node in ('tables', 'signals.mergeConflicts') and json_type(x) = 'OBJECT'),
+        m as (select record_id, node, parent_ix, {_ARRAY.format("y")} as e from k),
+        g as (select record_id, node, parent_ix, (generate_subscripts(e, 1) - 1)::int as child_ix, unnest(e) as x from m)
+        select record_id, node, parent_ix, child_ix from (from f union all from g) where json_type(x) <> 'NULL'""",
     "p5_receipt_items": """
         select record_id, (ix - 1)::int as child_ix, item.item_name as item_name, item.price as price, item.quantity as quantity
         from (select receipt_id as record_id, generate_subscripts(items, 1) as ix, unnest(items) as item
