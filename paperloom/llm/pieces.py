@@ -21,8 +21,8 @@ from pyspark.sql import functions as F
 
 #: Units in a sliding block, hashed word dimensions, units per slab of the curve.
 BLOCK, DIMENSIONS, SLAB = 6, 128, 1 << 14
-#: Groups into which the demands of one text are spread.
-SALTS = 1024
+#: Demands of one text that are served together.
+GROUP = 256
 #: A window reaches from this share of the budget up to the budget.
 FILLED = 0.5
 
@@ -61,11 +61,10 @@ def valley_depths(text: str, cuts: np.ndarray) -> np.ndarray:
         first, last = max(0, begin - BLOCK), min(len(bounds) - 1, end + 1 + BLOCK)
         counts = np.zeros((last - first + 1, DIMENSIONS), np.float32)
         base = bounds[first]
-        for m in _WORD.finditer(text, int(base), int(bounds[last])):
-            word = m[0].lower()
-            if len(word) > 2 or not word.isascii():
-                unit = np.searchsorted(bounds, m.start(), "right") - 1 - first
-                counts[unit + 1, zlib.crc32(word.encode("utf-8", "surrogatepass")) % DIMENSIONS] += 1
+        found = [(m.start(), zlib.crc32(m[0].lower().encode("utf-8", "surrogatepass")) % DIMENSIONS) for m in _WORD.finditer(text, int(base), int(bounds[last])) if m.end() - m.start() > 2 or not m[0].isascii()]
+        if found:
+            at, dimension = np.array(found, np.int64).T
+            np.add.at(counts, (np.searchsorted(bounds, at, "right") - first, dimension), 1)
         total = np.cumsum(counts, axis=0)
         here = np.arange(begin + 1, end + 1) - first
         left = total[here] - total[np.maximum(here - BLOCK, 0)]
@@ -127,13 +126,13 @@ def cut_texts(texts: DataFrame, demands: DataFrame, key: str, text: str, demand:
     budget is made one less.  A piece is longer than its budget in no case.
     """
     held = texts.select(F.col(key).alias("_key"), F.col(text).alias("_text")).where("_key is not null and _text is not null")
-    # The demands of a text travel as small arrays, so a text that is asked for a million
-    # times moves SALTS times and is measured as often, and no task holds all its demands.
-    asked = (
-        demands.select(F.col(key).alias("_key"), F.struct(F.col(demand).cast("bigint").alias("d"), F.col(budget).cast("bigint").alias("b"), F.col(overlap).cast("bigint").alias("o")).alias("_a"), F.pmod(F.xxhash64(demand), F.lit(SALTS)).alias("_salt"))
-        .where("_key is not null")
-        .groupBy("_key", "_salt").agg(F.collect_list("_a").alias("_asked")).drop("_salt")
-    )
+    # The demands of a text travel as arrays of about GROUP, so a text moves and is measured
+    # once for so many of them, and no task holds all demands of a text asked for a million
+    # times.
+    wanted = demands.select(F.col(key).alias("_key"), F.struct(F.col(demand).cast("bigint").alias("d"), F.col(budget).cast("bigint").alias("b"), F.col(overlap).cast("bigint").alias("o")).alias("_a"), F.xxhash64(demand).alias("_hash")).where("_key is not null")
+    groups = wanted.groupBy("_key").agg(F.ceil(F.count("*") / GROUP).alias("_groups"))
+    salted = wanted.join(groups, "_key").withColumn("_salt", F.pmod("_hash", "_groups"))
+    asked = salted.groupBy("_key", "_salt").agg(F.collect_list("_a").alias("_asked")).drop("_salt")
     joined = held.join(asked, "_key").select("_text", "_asked")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
