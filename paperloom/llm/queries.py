@@ -118,4 +118,12 @@ SQL: dict[str, str] = {
         select arm_id from (select distinct arm_id, inspection_id, soft_budget from chunk_merge_arms)
         join (select inspection_id, any_value(full_text) as full_text from inspections group by 1) using (inspection_id)
         where length(full_text) > soft_budget and soft_budget >= 1""",
+    "p9_found": r"""
+        with i as (select item_id, coalesce(lower(lang), '') like 'zh%' as zh, text from eval_items),
+        iw as (select item_id, zh, case when zh then 20 else 12 end as n, regexp_extract_all(lower(regexp_replace(text, '<[^<>]*>|\[[^\[\]]*\]', ' ', 'g')), case when zh then '[\x{3400}-\x{4DBF}\x{4E00}-\x{9FFF}\x{F900}-\x{FAFF}]|\p{Nd}' else '[\p{L}\p{N}]+' end) as w from i),
+        ig as (select distinct item_id, zh, array_to_string(w[k:k + n - 1], ' ') as g from (select *, unnest(range(1, len(w) - n + 2)) as k from iw)),
+        d as (select doc_id, regexp_replace(text, '<[^<>]*>|\[[^\[\]]*\]', ' ', 'g') as t from documents where text is not null),
+        dw as (select doc_id, false as zh, 12 as n, regexp_extract_all(lower(t), '[\p{L}\p{N}]+') as w from d union all select doc_id, true, 20, regexp_extract_all(t, '[\x{3400}-\x{4DBF}\x{4E00}-\x{9FFF}\x{F900}-\x{FAFF}]|\p{Nd}') from d),
+        dg as (select doc_id, zh, array_to_string(w[k:k + n - 1], ' ') as g from (select *, unnest(range(1, len(w) - n + 2)) as k from dw))
+        select distinct doc_id, item_id from dg join ig using (zh, g)""",
 }
