@@ -22,6 +22,8 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
+from paperloom.session import checkpointed
+
 #: Padded q-grams, rows of a band, and the recall wanted at a similarity.
 Q, BAND_ROWS, AT_SIMILARITY, RECALL = 2, 3, 0.45, 0.975
 #: A name that is no registered one is its own centre from so many records, and from this
@@ -114,6 +116,8 @@ class Vocabulary:
             self.given.setdefault(full, full)
             for w in shorts.split():  # a short form may stand for several names
                 self.given[w] = f"{self.given[w]}|{full}" if w in self.given else full
+        kinds = ((self.business, "business"), (set(LEGAL), "legal"), (set(self.given), "given"), (self.towns, "town"))
+        self.fuzzy = [([(k, set(k)) for k in sorted(known) if len(k) >= 5], what) for known, what in kinds]
         self.seen: dict[str, tuple[str, str]] = {}
 
     def kind_of(self, word: str) -> tuple[str, str]:
@@ -136,10 +140,12 @@ class Vocabulary:
         short = sorted(b for b in self.business if abbreviates(word, b))
         if short:
             return "business", short[0] if len(short) == 1 else "|".join(short)
-        for known, what in ((self.business, "business"), (set(LEGAL), "legal"), (set(self.given), "given"), (self.towns, "town")):
+        letters, most = set(word), 1 if len(word) < 8 else 2
+        for known, what in self.fuzzy:
             if len(word) >= 6:
-                near = [(damerau(word, k, 2), k) for k in known if len(k) >= 5]
-                near = [n for n in near if n[0] <= (1 if len(word) < 8 else 2)]
+                # An edit changes the set of letters by two at most.
+                near = [(damerau(word, k, most), k) for k, own in known if abs(len(k) - len(word)) <= most and len(letters ^ own) <= 2 * most]
+                near = [n for n in near if n[0] <= most]
                 if near:
                     best = min(near)[1]
                     return what, LEGAL.get(best, self.given.get(best, best)) if what != "business" else best
@@ -185,14 +191,20 @@ def _given_fits(a: str, b: str) -> bool:
     return True
 
 
+def key_edits(a: str, b: str) -> int | None:
+    """Edits between two keys, or None beyond a third of the longer one."""
+    most = max(1, int(max(len(a), len(b)) * 0.34))
+    edits = damerau(a, b, most)
+    return edits if edits <= most else None
+
+
 def monge_elkan(a: tuple[str, str, str, str, str], b: tuple[str, str, str, str, str]) -> float:
     """Mean over the parts of the written name ``a`` of their best match in ``b``, each part
     weighted by how much it tells; 0 where a part contradicts."""
     if not a[0] or not b[0]:
         return 0.0
-    most = max(1, int(max(len(a[0]), len(b[0])) * 0.34))
-    edits = damerau(a[0], b[0], most)
-    if edits > most:
+    edits = key_edits(a[0], b[0])
+    if edits is None:
         return 0.0
     key = 1 - edits / max(len(a[0]), len(b[0]))
     weights, total = 3.0, 3.0 * key
@@ -259,13 +271,20 @@ def link_names(records: DataFrame, name: str, register: DataFrame) -> DataFrame:
 
     # One row per distinct spelling; what follows never sees the records again.
     spelled = records.groupBy(F.col(name).alias("_name")).agg(F.count("*").alias("n")).where("_name is not null")
-    spelled = spelled.withColumn("p", parsed("_name")).select("_name", "n", "p.*")
+    spelled = checkpointed(spelled.withColumn("p", parsed("_name")).select("_name", "n", "p.*"))
     orgs = spark.createDataFrame(listed, "org_id bigint, org_kind string, registered_name string, org_town string")
     orgs = orgs.withColumn("p", parsed("registered_name")).select("org_id", "registered_name", F.lower("org_town").alias("org_town"), F.col("p.key").alias("o_key"), F.col("p.given").alias("o_given"), F.col("p.business").alias("o_business"), F.col("p.legal").alias("o_legal"))
 
     counts = spelled.where("key <> ''").groupBy("key").agg(F.sum("n").alias("key_n"))
     centre_keys = orgs.select("o_key").where("o_key <> ''").distinct()
     met = _banded(counts.select("key"), "key").join(_banded(centre_keys, "o_key"), "band").select("key", "o_key").distinct()
+
+    @F.pandas_udf("boolean")
+    def near(a: pd.Series, b: pd.Series) -> pd.Series:
+        return pd.Series([key_edits(x, y) is not None for x, y in zip(a, b)], dtype="bool")
+
+    # Keys too far apart can make no link; they go before the forms of a key are joined.
+    met = met.where(near("key", "o_key"))
     forms = spelled.where("key <> ''").select("key", "given", "business", "legal", "town").distinct()
     pairs = met.join(orgs, "o_key").join(forms, "key").join(counts, "key")
     pairs = pairs.join(counts.select(F.col("key").alias("o_key"), F.col("key_n").alias("o_n")), "o_key", "left")
