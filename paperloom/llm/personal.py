@@ -68,6 +68,8 @@ def names_in(line: str, common) -> Iterator[tuple[int, int]]:
         return len(bare) > 1 and bare[0].isupper() and word[-1] != "." and bare.lower() not in common and (bare[1:].islower() or bare.isupper() or "-" in bare or "'" in bare or "’" in bare)
 
     for i, (begin, _, word) in enumerate(tokens):
+        if not word[0].isupper():
+            continue
         if word.rstrip(".").lower() in TITLES and len(word.rstrip(".")) > 1:
             continue
         if not (part(word.rstrip(".")) or initial(word)):
