@@ -2,11 +2,12 @@
 
 from __future__ import annotations
 
-import json
 import re
+import unicodedata
 from collections.abc import Iterator
 
 import pandas as pd
+import regex
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -14,20 +15,15 @@ from paperloom.functions.numbers import MINUSES
 from paperloom.functions.text import trimmed
 from paperloom.operators.json_text import canonical, compact, find_record, loads, number_text
 
-_NOT_WORD = re.compile(r"[\W_]+")
+_OTHER = regex.compile(r"[^\p{L}\p{M}\p{N}]+")
 
 
 def search_form(text: str) -> str:
     """The search form of ``functions.text.for_search``, for values inside one document."""
-    import unicodedata
-
-    folded = unicodedata.normalize("NFD", text)
-    bare = unicodedata.normalize("NFC", "".join(c for c in folded if not "̀" <= c <= "ͯ"))
-    return "".join(c if c.isalnum() or unicodedata.category(c)[0] == "M" else " " for c in bare.lower()).strip()
-
-
-def _squeezed(text: str) -> str:
-    return " ".join(search_form(text).split())
+    if not text.isascii():
+        bare = "".join(c for c in unicodedata.normalize("NFD", text) if not "\u0300" <= c <= "\u036f")
+        text = unicodedata.normalize("NFC", bare)
+    return _OTHER.sub(" ", text.lower()).strip()
 
 
 def _signed_within(text: str, number: str) -> bool:
@@ -39,7 +35,7 @@ class Document:
     """A document's text and its search form, made once."""
 
     def __init__(self, text: str):
-        self.raw, self.normal = text, _squeezed(text)
+        self.raw, self.normal = text, search_form(text)
 
     def rank(self, value) -> int:
         """How well a scalar is grounded: 2 verbatim, 1 normalised, 0 not."""
@@ -48,7 +44,7 @@ class Document:
         if isinstance(value, str):
             if value and value in self.raw:
                 return 2
-            form = _squeezed(value)
+            form = search_form(value)
             return 1 if form and form in self.normal else 0
         text = number_text(value)
         if not (sum(c.isdigit() for c in text) >= 3 or re.search("[.,]", text)):
@@ -65,7 +61,7 @@ class Document:
         if not leaves:
             return True
         for leaf in leaves:
-            form = _squeezed(leaf)
+            form = search_form(leaf)
             if leaf in self.raw or form and form in self.normal:
                 return True
             tokens = [t for t in form.split() if len(t) >= 3]
