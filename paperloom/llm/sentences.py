@@ -16,7 +16,7 @@ import math
 import re
 from bisect import bisect_left
 from collections import Counter
-from collections.abc import Iterator
+from collections.abc import Iterable, Iterator
 
 import pyarrow as pa
 import regex
@@ -39,9 +39,9 @@ HARD = "。！？।॥؟۔｡"
 CLOSERS = "\"'”’»)]」』）】›"
 OPENERS = "\"'“‘«([「『（【‹„¿¡"
 PAIRS = {"“": "”", "„": "“”", "«": "»", "「": "」", "『": "』", "(": ")", "（": "）", "[": "]", "【": "】", "‘": "’", "‹": "›"}
-#: A key is kept in the model if it makes up this share of all counts, so there are at
-#: most its inverse of them, however large the corpus.
-LEAST_SHARE = 2e-6
+#: What is counted of a key: ends and others and small letters behind a stop, paragraph
+#: starts, places behind a stop and in the middle; N is a script's end without a stop.
+TAGS = "EOLSAMN"
 
 _CANDIDATE = regex.compile(r"[.!?…。！？।॥؟۔．｡]+(?:[   ]?[»›]|[\"'”’)\]」』）】]|(?<=[.!?…])“)*")
 _TOKEN = regex.compile(r"[\p{L}\p{M}\p{N}][\p{L}\p{M}\p{N}.'’-]*")
@@ -172,6 +172,17 @@ class Model:
         c = self.counts.get(("right", key), {})
         return c.get("M", 0) > c.get("S", 0) and c.get("M", 0) * 5 > c.get("A", 0)
 
+    def tells(self, kind: str, key: str) -> bool:
+        """Whether some emission() has another sign for this key than for one never seen."""
+        if kind == "left":
+            return key == "" or self.abbreviation(key)
+        if kind == "right":
+            first, score = key[:1], self.starter(key)
+            if first.lower() == first.upper():
+                return score >= 1 and not first.isdigit()
+            return self.named(key) or score <= -1 or score >= 2 and key.isupper() and len(key) <= 4
+        return True
+
     def emission(self, text: str, begin: int, end: int, mark: tuple[int, int, bool]) -> float:
         """Log-odds of a boundary at one candidate, apart from its neighbours."""
         start, stop, blank = mark
@@ -292,7 +303,11 @@ def _starts_fresh(text: str, begin: int, opening: int, marks: list[tuple[int, in
 
 
 def train(df: DataFrame, text: str = "text") -> Model:
-    """A model of the whole corpus: counts per key, summed by Spark."""
+    """A model of the whole corpus: counts per key, summed and judged by Spark.
+
+    No count is cut.  Each key is judged by all of its counts; what comes to the driver are
+    the keys judged otherwise than one never seen, with all their counts.
+    """
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -304,12 +319,23 @@ def train(df: DataFrame, text: str = "text") -> Model:
                 keys = list(seen)
                 yield pa.RecordBatch.from_arrays([pa.array([k[i] for k in keys]) for i in range(3)] + [pa.array([seen[k] for k in keys], pa.int64())], names=["kind", "key", "what", "n"])
 
-    counts = df.select(text).mapInArrow(run, "kind string, key string, what string, n bigint").groupBy("kind", "key", "what").agg(F.sum("n").alias("n"))
-    total = counts.agg(F.sum("n")).first()[0] or 0
-    kept: dict[tuple[str, str], dict[str, int]] = {}
-    for row in counts.where(F.col("n") >= max(1, math.ceil(total * LEAST_SHARE))).toLocalIterator():
-        kept.setdefault((row.kind, row.key), {})[row.what] = row.n
-    return Model(kept)
+    def judge(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            of = _by_key(batch.to_pylist())
+            model = Model(whole | of)
+            yield batch.filter(pa.array([model.tells(*key) for key in of], pa.bool_()))
+
+    seen = df.select(text).mapInArrow(run, "kind string, key string, what string, n bigint")
+    counts = seen.groupBy("kind", "key").agg(*[F.sum(F.when(F.col("what") == tag, F.col("n"))).alias(tag) for tag in TAGS]).persist()
+    try:
+        whole = _by_key(r.asDict() for r in counts.where("kind = 'left' and key = ''").collect())
+        return Model(_by_key(r.asDict() for r in counts.mapInArrow(judge, counts.schema).toLocalIterator()))
+    finally:
+        counts.unpersist()
+
+
+def _by_key(rows: Iterable[dict]) -> dict[tuple[str, str], dict[str, int]]:
+    return {(row["kind"], row["key"]): {tag: row[tag] for tag in TAGS if row[tag]} for row in rows}
 
 
 def sentence_units(df: DataFrame, model: Model, key: str = "doc_id", text: str = "text") -> DataFrame:
@@ -319,7 +345,7 @@ def sentence_units(df: DataFrame, model: Model, key: str = "doc_id", text: str =
     included.  Null, empty and blank texts have no rows.  Repeated rows give repeated rows.
     """
     kind = dict(df.dtypes)[key]
-    shared = df.sparkSession.sparkContext.broadcast(model)  # at most 1 / LEAST_SHARE keys
+    shared = df.sparkSession.sparkContext.broadcast(model)  # the keys that tell, see train()
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         model = shared.value

@@ -46,3 +46,28 @@ def test_frame(spark):
     assert counts == {1: 4, 4: 1, 5: 1}
     assert {r.sentence for r in got.where("doc_id = 1").collect()} == {"One.", "Two."}
     assert sentence_units(df.limit(0), train(df.limit(0))).count() == 0
+
+
+def test_no_count_is_cut(spark):
+    # Over a million counts, most of them filler; 'gear' ends two paragraphs and 60 sentences.
+    filler = ("x. " * 6 + "x.\n\n") * 2500
+    rows = [(n, filler) for n in range(24)] + [(100 + n, "The gear. Then on.") for n in range(60)] + [(200 + n, "A gear.\n\nOn.") for n in range(2)]
+    df = spark.createDataFrame(rows, "doc_id bigint, text string").repartition(4)
+    model = train(df)
+    assert not model.abbreviation("gear")
+    assert boundaries("He saw the gear. Then he left.", model) == [16, 30]
+
+
+def test_model_of_telling_keys(spark):
+    # What stays in Spark changes no boundary: the model of all counts finds the same ones.
+    glued = ["".join(" " + s for s in case) for case in CASES]
+    texts = (glued + ["\n\n".join(case) for case in CASES]) * 30
+    model = train(spark.createDataFrame([(t,) for t in texts], "text string"))
+    seen: Counter = Counter()
+    for text in texts:
+        observe(text, seen)
+    counts: dict = {}
+    for (kind, key, what), n in seen.items():
+        counts.setdefault((kind, key), {})[what] = n
+    assert all(model.counts[k] == counts[k] for k in model.counts) and len(model.counts) < len(counts)
+    assert all(boundaries(t, model) == boundaries(t, Model(counts)) for t in set(texts))
