@@ -166,6 +166,11 @@ def anchor_result(kind: Column, values: Column, value: Column, count: Column, te
     return F.when(text.isNull(), "skipped").when(F.coalesce(holds, F.lit(False)), "passed").otherwise("failed")
 
 
+def union_files(a: DataFrame, b: DataFrame, path: str = "path") -> DataFrame:
+    """The paths of two lists of files, each once, in order of the path.  A null is no path."""
+    return a.select(path).union(b.select(path)).where(F.col(path).isNotNull()).distinct().orderBy(path)
+
+
 def resolve_files(tokens: DataFrame, files: DataFrame, token: str = "token", path: str = "path") -> DataFrame:
     """The first file, by path, whose path holds the token (case aside): ``token, path``."""
     met = tokens.join(files, F.contains(F.lower(F.col(path)), F.lower(F.col(token))))

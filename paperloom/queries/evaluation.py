@@ -131,13 +131,20 @@ def anchor_files(spark: SparkSession, sf_dir: str) -> DataFrame:
     return evaluate.resolve_files(tokens, files)
 
 
+def collected_files(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The union of two lists of files, scanned ones and ones with blocks, as a whole."""
+    i = table(spark, sf_dir, "inspections").withColumnRenamed("source_description", "path")
+    return evaluate.union_files(i.where("used_ocr_fallback"), i.join(table(spark, sf_dir, "blocks"), "inspection_id", "left_semi"))
+
+
 def file_union(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Two lists of sources, each once, in order of the path (the first twelve of a report)."""
-    i = delivered_once(table(spark, sf_dir, "inspections"), "inspection_id", "source_description").select(F.col("source_description").alias("path")).where("path is not null")
-    return i.union(i).distinct().orderBy("path").limit(12)
+    """The first twelve of a report, as its SQL has it: of the scanned files and the others."""
+    i = delivered_once(table(spark, sf_dir, "inspections"), "inspection_id", "source_description", "used_ocr_fallback").withColumnRenamed("source_description", "path")
+    scanned = F.coalesce("used_ocr_fallback", F.lit(False))
+    return evaluate.union_files(i.where(scanned), i.where(~scanned)).limit(12)
 
 
-QUERIES = {f.__name__: f for f in (field_scores, accuracy_by_field, accuracy_overall, failure_share, pairing_guard, match_lines, lost_items, extra_items, dup_items, invariant_tristate, invariant_counters, invariant_issues, ab_compare, ab_changed_docs, key_union, survey_summary, merge_report, anchor_checks, anchor_files, file_union)}
+QUERIES = {f.__name__: f for f in (field_scores, accuracy_by_field, accuracy_overall, failure_share, pairing_guard, match_lines, lost_items, extra_items, dup_items, invariant_tristate, invariant_counters, invariant_issues, ab_compare, ab_changed_docs, key_union, survey_summary, merge_report, anchor_checks, anchor_files, collected_files, file_union)}
 
 _FORM = "regexp_replace(lower(trim({0})), '\\s+', ' ', 'g')"
 _AMOUNT = """len(list_filter([regexp_replace(regexp_replace(total::varchar, '(\\.\\d*?)0+$', '\\1'), '\\.$', ''), replace(regexp_replace(regexp_replace(total::varchar, '(\\.\\d*?)0+$', '\\1'), '\\.$', ''), '.', ','), total::varchar, replace(total::varchar, '.', ','), format('{:,.2f}', total::double), translate(format('{:,.2f}', total::double), ',.', '.,')], lambda c: contains(text, c))) > 0"""
@@ -191,5 +198,7 @@ SQL = {
         select inspection_id, kind, case when t is null then 'skipped' when case kind when 'textContains' then contains(lower(t), 'agreement') when 'sellerEquals' then contains(lower(t), 'agreement') when 'minTables' then true when 'tableContainsCells' then true else p >= 3 and p % 2 = 0 end then 'passed' else 'failed' end as status from k""",
     "anchor_files": """with f as (select distinct source_description as path from inspections where source_description is not null), t as (select unnest(['scan', 'PDF', 'a', 'nowhere']) as token)
         select token, min(path) as path from t join f on contains(lower(path), lower(token)) group by 1""",
+    "collected_files": """select source_description as path from inspections where source_description is not null and used_ocr_fallback
+        union select source_description from inspections where source_description is not null and inspection_id in (select inspection_id from blocks) order by 1""",
     "file_union": "select distinct source_description as path from inspections where source_description is not null order by 1 limit 12",
 }

@@ -45,3 +45,13 @@ def test_query(spark, duck, name):
 
 def test_entry(spark):
     assert driver.entry(spark).count() > 0
+
+
+def test_collected_files(spark, tmp_path):
+    """Two lists that differ come out whole and in order, beyond twelve paths too."""
+    rows = [(n, f"f{n:02}.pdf", n < 15) for n in range(40)] + [(3, "f03.pdf", True), (50, None, True), (51, "f00.pdf", False)]
+    spark.createDataFrame(rows, "inspection_id bigint, source_description string, used_ocr_fallback boolean").write.parquet(f"{tmp_path}/inspections.parquet")
+    spark.createDataFrame([(n,) for n in (10, 30, 30, 31, 50, 51)], "inspection_id bigint").write.parquet(f"{tmp_path}/blocks.parquet")
+    made = [r.path for r in driver.queries()["collected_files"](spark, str(tmp_path)).collect()]
+    assert made == [f"f{n:02}.pdf" for n in (*range(15), 30, 31)]
+    assert [r.path for r in driver.queries()["file_union"](spark, str(tmp_path)).collect()] == made[:12]
