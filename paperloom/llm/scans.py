@@ -32,7 +32,7 @@ OF_WORDS = ("of", "von", "de", "sur", "av", "/")
 SOFT_BREAKS = "¬­"
 HYPHEN_BREAKS = "-‐‑⁃"
 DIGIT_FOR = str.maketrans("OoQDlI|iSsZzBgqA", "0000111155228994")
-#: A word is in the lexicon if it makes up this share of all words: at most 1/share entries.
+#: A word of this share of all words is common, and a rarer one may be split or merged.
 LEAST_SHARE = 2e-6
 
 _WORD = re.compile(r"[^\W_]+(?:['’|$€][^\W_]+)*")
@@ -55,12 +55,12 @@ def lexicon_words(text: str) -> Iterator[str]:
             yield m[0].lower().replace("‐", "-").replace("‑", "-")
 
 
-def count_lexicon(df: DataFrame, text: str, words=lexicon_words) -> dict[str, int]:
+def count_lexicon(df: DataFrame, text: str, words=lexicon_words, share: float = LEAST_SHARE) -> dict[str, int]:
     """Word counts over all texts, of the words that reach the share.  ``words`` gives the
     words of a text.
 
-    The share bounds the result to 1 / LEAST_SHARE words whatever the corpus; single
-    letters and words of digits alone are no entries.
+    A share bounds the result to 1 / share words whatever the corpus; with share 0 every
+    word is counted.  Words of digits alone are no entries.
     """
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -72,8 +72,10 @@ def count_lexicon(df: DataFrame, text: str, words=lexicon_words) -> dict[str, in
             yield pa.RecordBatch.from_arrays([pa.array(list(seen), pa.string()), pa.array(list(seen.values()), pa.int64())], names=["word", "n"])
 
     counts = df.select(text).mapInArrow(run, "word string, n bigint").groupBy("word").agg(F.sum("n").alias("n"))
+    if not share:
+        return {row.word: row.n for row in counts.toLocalIterator()}
     total = counts.agg(F.sum("n")).first()[0] or 0
-    least = max(1, math.ceil(total * LEAST_SHARE))
+    least = max(1, math.ceil(total * share))
     return {row.word: row.n for row in counts.where(F.col("n") >= least).toLocalIterator()}
 
 
@@ -83,8 +85,9 @@ class Decoder:
     def __init__(self, lexicon: dict[str, int]):
         self.lexicon = lexicon
         self.total = max(sum(lexicon.values()), 1)
+        self.least = max(1, math.ceil(self.total * LEAST_SHARE))
         self.known: dict[str, tuple[str, float] | None] = {}
-        self.plain: set[str] = set()  # words of the lexicon that stand as they are
+        self.plain: set[str] = set()  # common words that stand as they are
 
     def cost(self, word: str) -> float:
         n = self.lexicon.get(word.lower(), 0)
@@ -92,6 +95,9 @@ class Decoder:
             return math.log(self.total / n)
         return math.log(self.total) + 1.5 + 0.7 * len(word)
 
+    def _common(self, word: str) -> bool:
+        return self.lexicon.get(word, 0) >= self.least
+
     def _variants(self, word: str) -> Iterator[tuple[str, str]]:
         for at in range(len(word)):
             for size in (1, 2):
@@ -159,11 +165,11 @@ class Decoder:
         n = len(words)
         if not all(word in self.plain or self._plain(word) for word in words):
             return self._decode(words)
-        # No other edge leaves or joins words of the lexicon that are no misreadings.
+        # No other edge leaves or joins common words that are no misreadings.
         return [(i, i + 1, word, "same") for i, word in enumerate(words)]
 
     def _plain(self, word: str) -> bool:
-        if word.lower() not in self.lexicon or self.corrected(word):
+        if not self._common(word.lower()) or self.corrected(word):
             return False
         if len(self.plain) > 400_000:
             self.plain.clear()
@@ -181,12 +187,12 @@ class Decoder:
             mended = self.corrected(word)
             if mended:
                 edges = [(i + 1, min(mended[1], plain), mended[0], "misread")]
-            elif word.lower() not in self.lexicon and word.isalpha() and len(word) <= 30:
+            elif not self._common(word.lower()) and word.isalpha() and len(word) <= 30:
                 for k in range(2, len(word) - 1):
                     a, b = word[:k].lower(), word[k:].lower()
                     if a in self.lexicon and b in self.lexicon and min(self.lexicon[a], self.lexicon[b]) * 5_000 > self.total:
                         edges.append((i + 1, self.cost(a) + self.cost(b) + 3.0, f"{word[:k]} {word[k:]}", "split"))
-            if i + 1 < n and word.isalpha() and words[i + 1].isalpha() and words[i + 1].islower() and not (word.lower() in self.lexicon and words[i + 1] in self.lexicon):
+            if i + 1 < n and word.isalpha() and words[i + 1].isalpha() and words[i + 1].islower() and not (self._common(word.lower()) and self._common(words[i + 1])):
                 whole = word + words[i + 1]
                 if self.lexicon.get(whole.lower(), 0):
                     edges.append((i + 2, self.cost(whole) + 2.0, whole, "merge"))
@@ -492,7 +498,7 @@ def _paragraphs(lines: list[str], body: list[int], made: dict[int, str], carried
 
 
 def _run(df: DataFrame, key: str, text: str, lexicon: dict[str, int], schema: str, rows):
-    shared = df.sparkSession.sparkContext.broadcast(lexicon)  # at most 1 / LEAST_SHARE words
+    shared = df.sparkSession.sparkContext.broadcast(lexicon)  # as large as the distinct words counted
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         decoder = Decoder(shared.value)

@@ -2,6 +2,7 @@
 
 import random
 
+from paperloom.llm.queries import p4_found
 from paperloom.llm.scans import Decoder, count_lexicon, fold, furniture, page_number, repair, repaired, repairs
 
 SENTENCES = ["The committee considered the comments and recommended approval of the programme.", "The ventilation ducts were cleaned thoroughly and the filters exchanged.", "An up-to-date inspection certificate is included for the control cabinet.", "Transport insurance was arranged by the forwarding department."]
@@ -46,3 +47,15 @@ def test_frames(spark):
     assert repairs(df, "inspection_id", "full_text", lexicon).where("inspection_id >= 100").count() == 0
     assert repaired(df, "inspection_id", "full_text", lexicon).select("inspection_id").distinct().count() == 20
     assert repairs(df.limit(0), "inspection_id", "full_text", count_lexicon(df.limit(0), "full_text")).count() == 0
+
+
+def found_in(spark, path, texts):
+    spark.createDataFrame(texts, "inspection_id bigint, full_text string").repartition(4).write.parquet(f"{path}/inspections.parquet")
+    return {(r.inspection_id, r.noise) for r in p4_found(spark, str(path)).collect()}
+
+
+def test_margin_compares_true_counts(spark, tmp_path):
+    # Among over a million words 'tines' stands twice: 'fines', seen 20 times, is not 15 times commoner.
+    filler = [(n, "word " * 44_000) for n in range(25)]
+    texts = filler + [(100 + n, "these are fines here") for n in range(20)] + [(200 + n, "these are tines here") for n in range(2)]
+    assert found_in(spark, tmp_path, texts) == set()
