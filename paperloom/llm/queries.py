@@ -59,9 +59,8 @@ def p3_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def _scans(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, dict[str, int]]:
-    texts = table(spark, sf_dir, "inspections")
-    # A redelivered text counts once in what is reported; in the lexicon's shares it is noise.
-    return delivered_once(texts, "inspection_id", "full_text"), count_lexicon(texts, "full_text", share=0)
+    texts = delivered_once(table(spark, sf_dir, "inspections"), "inspection_id", "full_text")
+    return texts, count_lexicon(texts, "full_text", share=0)
 
 
 def p4_found(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -59,3 +59,9 @@ def test_margin_compares_true_counts(spark, tmp_path):
     filler = [(n, "word " * 44_000) for n in range(25)]
     texts = filler + [(100 + n, "these are fines here") for n in range(20)] + [(200 + n, "these are tines here") for n in range(2)]
     assert found_in(spark, tmp_path, texts) == set()
+
+
+def test_redelivered_text_counts_once(spark, tmp_path):
+    # Delivered ten times, the misreading would be too common to be one of 'considered'.
+    texts = [(n, "they considered it again") for n in range(60)] + [(100, "they considcred it again")] * 10
+    assert found_in(spark, tmp_path, texts) == {(100, "misread")}
