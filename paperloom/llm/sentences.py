@@ -1,13 +1,14 @@
-"""Sentence units in any script by a linear-chain tagger and Viterbi decoding.
+"""Sentence units in any script by emission scores of boundary candidates.
 
 Every character is tagged as boundary or inside; only ends of terminal runs (and, in
 scripts written without punctuation, blanks) can be boundaries at all.  The chain's
 emissions come from counts over the whole corpus that need no labels: an empty line is a
 certain boundary, so what stands before and behind empty lines shows how sentences end and
 begin, and what is followed by a small letter shows where none ends.  Whether a script is
-punctuated is seen from its paragraph ends; for one that is not, the same texts stripped
-of punctuation train the blank as its boundary.  Transitions couple a quotation's inner
-boundaries with the ones at its two ends.
+punctuated is seen from its paragraph ends; for one that is not, every blank is a boundary by
+a constant score.  Nothing is trained on texts stripped of punctuation.  The chain has no
+transition scores, so each candidate is decided by the sign of its own score; a quotation's
+inner boundaries are put down by a preset score before that.
 """
 
 from __future__ import annotations
