@@ -52,3 +52,14 @@ def test_parts():
     assert abbreviates("mfg", "manufacturing") and abbreviates("labs", "laboratories") and not abbreviates("mur", "manufacturing")
     assert damerau("abcd", "abdc") == 1 and damerau("a", "abcdef", 2) == 3
     assert monge_elkan(words.parse("Tuvvimmberg Foods"), words.parse("Tuvvimmberg Laboratories Co")) == 0
+
+
+def test_far_misspellings_meet():
+    # Keys with two swaps are accepted by their edits and must meet in some band.
+    rng, met, bands = random.Random(5), 0, bands_for()
+    for _ in range(400):
+        key = "".join(rng.sample("abcdefghijklmnoprstuvw", 11))
+        typo = key[1] + key[0] + key[2:7] + key[8] + key[7] + key[9:]
+        a, b = (signature(k)[: bands * BAND_ROWS].reshape(bands, -1) for k in (key, typo))
+        met += bool((a == b).all(axis=1).any())
+    assert met >= 0.95 * 400
