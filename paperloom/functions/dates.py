@@ -7,12 +7,20 @@ from pyspark.sql import functions as F
 
 from paperloom.functions.text import let, trimmed
 
-#: Ways to write a moment, tried in order; the numeric ones go first, by the locale.
+# Ways to write a moment, tried in order; the numeric ones go first, by the locale.
 FORMATS = ("yyyy/MM/dd", "MMM d, yyyy", "MMMM d, yyyy", "d MMM yyyy", "d MMMM yyyy", "yyyy-MM-dd HH:mm:ss", "yyyy-MM-dd'T'HH:mm:ss")
 MONTH_FIRST = ("MM/dd/yyyy", "M/d/yyyy", "MM-dd-yyyy")
 DAY_FIRST = ("dd/MM/yyyy", "d/M/yyyy", "dd-MM-yyyy")
-# Locales that write the month before the day.
-MONTH_FIRST_LOCALES = ("en_us", "en_ph", "fil_ph", "zh_cn", "ja_jp", "ko_kr", "sv_se", "hu_hu", "lt_lt")
+# Languages whose month stands before the day in the public locale data, the
+# regions of English in which it does, and the locales that differ from their language.
+MONTH_FIRST_LANGUAGES = frozenset(
+    "ak asa bem bez bgc bho blo bo brx ce ceb cgg chr ckb csw dav dz ebu ee eo eu fa fil gaa guz gv ha hu ii ja jmc kam kde ki kl kln ko ks ksb ksh "
+    "kw lag lg lij lkt lmo lrc lt luo luy mas mer mgo mn mt mzn naq nd nds ne nnh nqo nso nyn oc om or prg ps qu raj rof rw rwk sah saq sat sbp sd se "
+    "si sn so st szl teo tn tok tzm vai vmw vun xh xog yi yue za zh zu".split()
+)
+MONTH_FIRST_ENGLISH = frozenset("as bi ca gu mh mp ph pr um us vi za".split())
+MONTH_FIRST_ELSEWHERE = ("es_pa", "es_pr", "fr_ca")
+DAY_FIRST_ELSEWHERE = ("se_fi", "zh_hk", "zh_mo")
 
 
 def from_epoch(number: Column) -> Column:
@@ -21,9 +29,17 @@ def from_epoch(number: Column) -> Column:
 
 
 def day_first(locale: Column) -> Column:
-    """Does the locale write the day before the month?  Unknown and null ones do not."""
-    loc = F.lower(F.regexp_replace(F.coalesce(locale, F.lit("")), "-", "_"))
-    return (loc != "") & ~loc.isin(*MONTH_FIRST_LOCALES)
+    """Does the locale write the day before the month?  A tag is read by its language and its
+    region (``en``, ``en-US``, ``zh_Hant_TW``); a language without region stands for its
+    default one.  Unknown languages write the day first, an empty or null locale does not."""
+    parts = F.split(F.lower(F.regexp_replace(F.coalesce(locale, F.lit("")), "-", "_")), "_")
+    language = F.element_at(parts, 1)
+    # A script or a variant may stand beside the region; the region has two letters or three digits.
+    region = F.coalesce(F.try_element_at(F.filter(F.slice(parts, 2, F.greatest(F.size(parts), F.lit(1))), lambda p: p.rlike("^([a-z]{2}|[0-9]{3})$")), F.lit(1)), F.lit(""))
+    place = F.concat_ws("_", language, region)
+    month = F.when(language == "en", (region == "") | region.isin(*sorted(MONTH_FIRST_ENGLISH)))
+    month = month.when(place.isin(*MONTH_FIRST_ELSEWHERE), True).when(place.isin(*DAY_FIRST_ELSEWHERE), False)
+    return (language != "") & ~month.otherwise(language.isin(*sorted(MONTH_FIRST_LANGUAGES)))
 
 
 def strict_day(text: Column) -> Column:

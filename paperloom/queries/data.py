@@ -16,7 +16,8 @@ def p5_elements(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def p5_found(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return p5_elements(spark, sf_dir).select("record_id", "node", "parent_ix", "child_ix")
+    raw = delivered_once(table(spark, sf_dir, "raw_results"), "record_id", "payload")
+    return flatten_payloads(raw, "record_id", "payload", texts=False)
 
 
 def p5_receipt_items(spark: SparkSession, sf_dir: str) -> DataFrame:

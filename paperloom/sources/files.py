@@ -16,7 +16,9 @@ from paperloom.functions.text import trimmed
 # Extensions by kind.
 PDF, IMAGES, TEXTS = ("pdf",), ("png", "jpg", "jpeg", "heic", "heif", "tif", "tiff", "gif", "bmp", "webp"), ("txt", "md", "csv", "json", "html", "xml")
 # Attachment names of e-invoices, best first.
-PREFERRED = ("factur-x.xml", "zugferd-invoice.xml", "xrechnung.xml", "order-x.xml", "cii.xml")
+PREFERRED = ("factur-x.xml", "zugferd-invoice.xml", "zugferd.xml", "xrechnung.xml")
+# Root elements that tell an e-invoice.
+INVOICE_ROOTS = ("CrossIndustryInvoice", "CrossIndustryDocument")
 
 
 def extension(path: Column) -> Column:
@@ -87,11 +89,14 @@ def page_images(pages: DataFrame, key: str) -> DataFrame:
 
 
 def chosen_attachment(attachments: DataFrame, key: str) -> DataFrame:
-    """The e-invoice of a document among its attachments (``key, name, xml``): by preferred
-    name, else the first that looks like one."""
+    """The e-invoice of a document among its attachments (``key, name, xml``): of the XML files
+    that look like one, first those of a preferred name, then by name.  A preferred name whose
+    content is no invoice is passed over."""
     names = F.create_map(*[F.lit(x) for i, n in enumerate(PREFERRED) for x in (n, i)])
-    rank = F.coalesce(F.element_at(names, F.lower("name")), F.when(F.contains(F.col("xml"), F.lit("CrossIndustryInvoice")), 100))
-    return attachments.withColumn("_r", rank).where("_r is not null").groupBy(key).agg(F.min_by("xml", F.struct("_r", "name")).alias("xml"))
+    looks = F.greatest(*[F.contains(F.col("xml"), F.lit(root)) for root in INVOICE_ROOTS])
+    rank = F.coalesce(F.element_at(names, F.lower("name")), F.lit(len(PREFERRED)))
+    fitting = attachments.where(looks & (extension(F.col("name")) == "xml"))
+    return fitting.groupBy(key).agg(F.min_by("xml", F.struct(rank, F.lower("name"), "name")).alias("xml"))
 
 
 def invoice_truth(docs: DataFrame, key: str, xml: str = "xml") -> DataFrame:

@@ -3,6 +3,7 @@
 import datetime as dt
 import json
 import random
+import time
 import zoneinfo
 
 import pytest
@@ -13,15 +14,28 @@ from paperloom.operators.timestamps import to_moments
 from paperloom.tables import delivered_once
 
 
+def elements(texts):
+    """What shred() finds, as tuples (text, node, parent, child)."""
+    return [x for r in shred([t.encode() for t in texts]) for x in zip(r.text.tolist(), [r.node] * len(r.text), r.parent.tolist(), r.child.tolist())]
+
+
+def has_arrays(record):
+    inside = lambda x, *names: isinstance(x, dict) and any(isinstance(x.get(n), (list, dict, str)) for n in names)
+    return inside(record.get("value"), "items", "lineItems") or inside(record.get("signals"), "fields", "mergeConflicts") or inside(record, "tables")
+
+
 def brute(text):
-    decoder, record = json.JSONDecoder(), None
-    for i, c in enumerate(text):
-        if c == "{":
-            try:
-                record, _ = decoder.raw_decode(text, i)
-                break
-            except ValueError:
-                continue
+    decoder, record, i = json.JSONDecoder(), None, 0
+    while (i := text.find("{", i)) >= 0:
+        try:
+            made, end = decoder.raw_decode(text, i)
+        except ValueError:
+            i += 1
+            continue
+        if has_arrays(made):
+            record = made
+            break
+        i = end
     out = []
 
     def array(value):
@@ -73,10 +87,10 @@ def test_shred_against_brute_force():
         if rng.random() < 0.3:
             record["tables"] = json.dumps(record["tables"])
         text = json.dumps(record, indent=rng.choice([None, 1]), ensure_ascii=rng.random() < 0.5)
-        text = rng.choice(["", "Here: ", "```json\n"]) + text + rng.choice(["", "\nDone.", " }"])
+        text = rng.choice(["", "Here: ", "```json\n", 'a 5" display: ', "see {} : ", 'it is {"x" or so} ', '{"a": 1} "then" ', "set {1, 2} of {", 'a "{" and ', '{"n": {"value": 3}} ']) + text + rng.choice(["", "\nDone.", " }", ' 5" {"'])
         texts.append(text if rng.random() < 0.8 else text[: rng.randrange(len(text))])
     got = {}
-    for t, node, parent, child, _ in shred([x.encode() for x in texts]):
+    for t, node, parent, child in elements(texts):
         got.setdefault(t, []).append((node, parent, child))
     for i, text in enumerate(texts):
         assert sorted(got.get(i, [])) == brute(text), text
@@ -84,7 +98,35 @@ def test_shred_against_brute_force():
 
 @pytest.mark.parametrize("text", ["", "{}", "[]", "null", '{"value":{"items":[1,]}}', '{"value":{"items":[1 2]}}', '{"value" {"items":[1]}}', '{"value":{"items":[01]}}', '{"value":{"items":[NaN]}}', '{"value":{"items":[1]}', '"', "{", "}{"])
 def test_broken_payloads(text):
-    assert shred([text.encode()]) == []
+    assert elements([text]) == []
+
+
+RECORD = '{"value":{"items":[{"a":1},null,{"a":2}]}}'
+
+
+@pytest.mark.parametrize("lead", ["", 'a 5" display: ', "see {} : ", 'it is {"x" or so} ', '{"a":[1,2]} ', '{"a":{"value":{"x":1}} so ', "{" * 50, '"{', '{"b', '{"n":{"items":[{"c":5}]}} ' * 3])
+def test_record_in_prose(lead):
+    assert elements([lead + RECORD + " }"]) == [(0, "value.items", -1, 0), (0, "value.items", -1, 2)] or lead == '{"b'
+
+
+@pytest.mark.parametrize("lead", ['{"result": ', '{"a": 1, "b": [', '{"c": "'])
+def test_record_cut_off(lead):
+    """An object that is cut off at the end of its payload is no complete one, nor what it holds."""
+    assert elements([lead + (RECORD if lead[-1] != '"' else RECORD.replace('"', "'"))]) == []
+
+
+def test_many_braces():
+    """Neither stray openers nor broken records with many objects are searched over and over."""
+    began = time.time()
+    texts = ["{" * 200_000 + RECORD, '{"' * 100_000, '{"a":' * 50_000 + "oops", '{"b": [' + '{"value": 1},' * 20_000 + " oops " + RECORD]
+    assert sorted(elements(texts)) == [(t, "value.items", -1, i) for t in (0, 3) for i in (0, 2)]
+    assert time.time() - began < 30
+
+
+def test_element_texts(spark):
+    df = spark.createDataFrame([(1, 'x {"value":{"items":[{"ä":"é\\n"}, 5, "{"]},"tables":"[{\\"cells\\":[[1]]}]"}')], "record_id bigint, payload string")
+    got = {(r.node, r.parent_ix, r.child_ix): r.element for r in flatten_payloads(df, "record_id", "payload").collect()}
+    assert got == {("value.items", -1, 0): '{"ä":"é\\n"}', ("value.items", -1, 1): "5", ("value.items", -1, 2): '"{"', ("tables", -1, 0): '{"cells":[[1]]}', ("tables.cells", 0, 0): "[1]"}
 
 
 def test_flatten_hostile_table(spark):
