@@ -14,9 +14,10 @@ from __future__ import annotations
 import datetime as dt
 import zoneinfo
 from collections.abc import Iterator
+from functools import lru_cache
 
 import pandas as pd
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 # Month names in the languages of the supported locales.
@@ -38,11 +39,16 @@ MONTHS = {
 ABBREVIATIONS = {"z": 0, "utc": 0, "gmt": 0, "cet": 1, "cest": 2, "est": -5, "edt": -4, "pdt": -7, "jst": 9}
 # Regions that write the month first / the year first.
 MONTH_FIRST = ("en_us", "en_ph")
-FIRST_YEAR, LAST_YEAR = 1900, 2100
+#: Years whose regimes are listed.  Before the first no zone had left its local mean time.  Behind
+#: the last each zone goes by its final rule, so a year has the changes of the year of CYCLE with
+#: the same weekdays and length.
+FIRST_YEAR, LAST_YEAR = 1800, 2128
+CYCLE = range(2101, 2129)
 
 _EPOCH = dt.datetime(1970, 1, 1)
 
 
+@lru_cache(maxsize=None)
 def _history(name: str) -> list[tuple[int, int]]:
     """(UTC second a regime begins, its offset) of one zone, found by bisection."""
     zone = zoneinfo.ZoneInfo(name)
@@ -103,14 +109,15 @@ def _intervals(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         yield pd.DataFrame(rows, columns=["tz", "tz_year", "lows", "highs", "reaches", "offsets"])
 
 
-def zone_intervals(spark: SparkSession) -> DataFrame:
-    """The local-time intervals of every zone of the tz database.
+def zone_intervals(names: DataFrame) -> DataFrame:
+    """The local-time intervals of the zones named in the only column of ``names``.
 
-    Columns ``tz, tz_year, spans array<struct<low, high, reach, off>>``.  A row's bound is
-    the database itself: about 600 zones times 201 years, whatever the input holds.
+    Columns ``tz, tz_year, spans array<struct<low, high, reach, off>>``.  Names that the tz
+    database lacks have none, so the rows are bounded by the database itself: about 600 zones
+    times 329 years, whatever the input holds.
     """
-    names = sorted(zoneinfo.available_timezones())
-    zones = spark.createDataFrame([(n,) for n in names], "tz string").repartition(spark.sparkContext.defaultParallelism)
+    given = F.trim(F.col(names.columns[0]))
+    zones = names.select(given.alias("tz")).where(F.col("tz").isin(*sorted(zoneinfo.available_timezones()))).distinct()
     arrays = zones.mapInPandas(
         _intervals,
         "tz string, tz_year int, lows array<bigint>, highs array<bigint>, reaches array<bigint>, offsets array<int>",
@@ -220,10 +227,23 @@ def moment_of(s: Column, read: Column) -> Column:
         .when(timed & (z != ""), local - offset)
     )
     waiting = F.when(timed & (z == ""), local)
-    return F.struct(moment.cast("bigint").alias("epoch_s"), waiting.cast("bigint").alias("local_s"), F.when(waiting.isNotNull(), F.least(F.greatest(read["y"], F.lit(FIRST_YEAR)), F.lit(LAST_YEAR))).alias("local_year"))
+    # A year beyond the list stands for its like in the cycle, to which its local time is moved.
+    starts = {_year_kind(y): y for y in CYCLE}
+    like = F.create_map(*[F.lit(x) for kind, y in starts.items() for x in (kind, y)])
+    first = F.try_make_timestamp(read["y"], F.lit(1), F.lit(1), F.lit(0), F.lit(0), F.lit(0))
+    leap = (read["y"] % 4 == 0) & ((read["y"] % 100 != 0) | (read["y"] % 400 == 0))
+    year = F.when(read["y"] > LAST_YEAR, F.element_at(like, F.dayofweek(first) + F.when(leap, 10).otherwise(0))).otherwise(F.greatest(read["y"], F.lit(FIRST_YEAR)))
+    moved = F.when(read["y"] > LAST_YEAR, F.unix_seconds(first) - F.unix_seconds(F.make_timestamp(year, F.lit(1), F.lit(1), F.lit(0), F.lit(0), F.lit(0)))).otherwise(0)
+    return F.struct(moment.cast("bigint").alias("epoch_s"), waiting.cast("bigint").alias("local_s"), F.when(waiting.isNotNull(), year).cast("int").alias("local_year"), moved.cast("bigint").alias("moved_s"))
 
 
-def to_moments(df: DataFrame, text: str, locale: str, zone: str) -> DataFrame:
+def _year_kind(year: int) -> int:
+    """Day of week (from Sunday, 1) of a year's first day, and ten more if it is a leap year."""
+    leap = year % 4 == 0 and (year % 100 != 0 or year % 400 == 0)
+    return dt.date(year, 1, 1).isoweekday() % 7 + 1 + 10 * leap
+
+
+def to_moments(df: DataFrame, text: str, locale: str, zone: str, zone_names: DataFrame | None = None) -> DataFrame:
     """Add ``epoch_s`` (bigint) and ``reading`` to ``df``.
 
     ``reading`` is 'absolute' (the string carries its offset, is a bare date or an epoch
@@ -232,20 +252,22 @@ def to_moments(df: DataFrame, text: str, locale: str, zone: str) -> DataFrame:
     unknown zone name, or a time with neither offset nor zone.  Every input row comes out
     once; columns of the input with clashing names are kept, ours replace none of them
     unless they are called ``epoch_s`` or ``reading``.
+
+    Only the histories of zones that occur are made.  ``zone_names`` has their names in its one
+    column where a cheaper table than ``df`` holds them; by default they are read off ``df``.
     """
-    spark = df.sparkSession
     # Three steps, so that each is computed once for the next.
     read = df.drop("epoch_s", "reading").withColumn("_text", cleaned(F.col(text)))
     read = read.withColumn("_parts", parts_of(F.col("_text"), F.col(locale)))
     read = read.withColumn("_read", moment_of(F.col("_text"), F.col("_parts"))).drop("_text", "_parts")
     # The join side is bounded by the tz database (see zone_intervals), not by the data.
-    zones = F.broadcast(zone_intervals(spark).withColumnsRenamed({"tz": "_tz", "tz_year": "_tz_year", "spans": "_spans"}))
+    zones = F.broadcast(zone_intervals(df.select(zone) if zone_names is None else zone_names).withColumnsRenamed({"tz": "_tz", "tz_year": "_tz_year", "spans": "_spans"}))
     joined = read.join(
         zones,
         (F.trim(F.col(zone)) == F.col("_tz")) & (F.col("_read.local_year") == F.col("_tz_year")),
         "left",
     )
-    local = F.col("_read.local_s")
+    local = F.col("_read.local_s") - F.col("_read.moved_s")
     near = F.filter("_spans", lambda x: (x["low"] <= local) & (local < x["reach"]))
     exact = F.filter(near, lambda x: local < x["high"])
     resolved = joined.withColumn("_near", near).withColumn("_exact", exact)
@@ -258,6 +280,6 @@ def to_moments(df: DataFrame, text: str, locale: str, zone: str) -> DataFrame:
     off = F.when(F.size("_exact") >= 1, F.try_element_at("_exact", F.lit(1))["off"]).otherwise(F.try_element_at("_near", F.lit(1))["off"])
     return (
         resolved.withColumn("reading", reading)
-        .withColumn("epoch_s", F.coalesce(F.col("_read.epoch_s"), local - off))
+        .withColumn("epoch_s", F.coalesce(F.col("_read.epoch_s"), F.col("_read.local_s") - off))
         .drop("_read", "_tz", "_tz_year", "_spans", "_near", "_exact")
     )

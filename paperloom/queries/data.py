@@ -44,7 +44,8 @@ def _dates(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def p6_moments(spark: SparkSession, sf_dir: str) -> DataFrame:
-    moments = to_moments(_dates(spark, sf_dir), "written", "locale", "zone_name")
+    zones = table(spark, sf_dir, "receipts").select("zone_name").union(table(spark, sf_dir, "invoices").select("zone_name"))
+    moments = to_moments(_dates(spark, sf_dir), "written", "locale", "zone_name", zones)
     return moments.select("field_name", "record_id", "written", "reading", "epoch_s")
 
 

@@ -29,8 +29,10 @@ def _advance(key: tuple, batches: Iterator[pd.DataFrame], state: GroupState) ->
     if state.hasTimedOut:
         state.remove()
         final = find_record(text)
-        if final is not None:
-            yield pd.DataFrame([(key[0], due, "final", final)], columns=UPDATES.names)
+        rows = [] if final is None else [(key[0], due, "final", final)]
+        # What waits behind a piece that never came is no part of the record, and is not lost.
+        rows += [(key[0], s, "stray", waiting[s][0]) for s in sorted(waiting)]
+        yield pd.DataFrame(rows, columns=UPDATES.names)
         return
     for batch in batches:
         for seq, piece, end in zip(batch["seq"], batch["piece"], batch["is_end"]):
@@ -58,7 +60,8 @@ def record_updates(pieces: DataFrame) -> DataFrame:
     """Streaming rows ``doc_id, seq, kind, payload`` from ``doc_id, seq, piece, is_end``.
 
     ``kind`` is 'partial' or 'final'.  A document that falls silent for ten minutes ends with
-    what its text holds.
+    what its text holds; pieces that still wait behind a missing one come out as they are, as
+    'stray'.  A null end mark is none.
     """
     return pieces.groupBy("doc_id").applyInPandasWithState(_advance, UPDATES, _STATE, "append", GroupStateTimeout.ProcessingTimeTimeout)
 

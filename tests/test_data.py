@@ -179,3 +179,17 @@ def test_local_times_against_zoneinfo(spark):
         rows.append((i, local.strftime("%Y-%m-%d %H:%M"), zone, int(local.replace(tzinfo=zoneinfo.ZoneInfo(zone), fold=0).timestamp())))
     df = spark.createDataFrame(rows, "i int, w string, z string, want bigint").withColumn("l", F.lit("en_GB"))
     assert to_moments(df, "w", "l", "z").where("epoch_s is distinct from want").count() == 0
+
+
+def test_far_years_against_the_zone_rules(spark):
+    """Years beyond the listed ones go by the zones' last rules, early ones by local mean time."""
+    rng = random.Random(6)
+    zones = ["Europe/Berlin", "America/New_York", "Australia/Sydney", "America/Santiago", "Africa/Casablanca", "Asia/Tokyo"]
+    rows = []
+    for i in range(400):
+        zone = rng.choice(zones)
+        local = dt.datetime(rng.choice([1500, 1799, 1850, 1895, 2099, 2101, 2128, 2129, 2150, 2400, 3000, 9998]), 1, 1) + dt.timedelta(minutes=rng.randrange(60 * 24 * 365))
+        rows.append((i, local.strftime("%Y-%m-%d %H:%M").zfill(16), zone, int(local.replace(tzinfo=zoneinfo.ZoneInfo(zone), fold=0).timestamp())))
+    df = spark.createDataFrame(rows, "i int, w string, z string, want bigint").withColumn("l", F.lit("en_GB"))
+    wrong = to_moments(df, "w", "l", "z").where("epoch_s is distinct from want").collect()
+    assert not wrong, wrong[:5]
