@@ -1,14 +1,19 @@
-"""Sentence units in any script by emission scores of boundary candidates.
+"""Sentence units in any script by a linear chain over boundary candidates.
 
 Every character is tagged as boundary or inside; only ends of terminal runs (and, in
-scripts written without punctuation, blanks) can be boundaries at all.  The chain's
-emissions come from counts over the whole corpus that need no labels: an empty line is a
-certain boundary, so what stands before and behind empty lines shows how sentences end and
-begin, and what is followed by a small letter shows where none ends.  Whether a script is
-punctuated is seen from its paragraph ends; for one that is not, every blank is a boundary by
-a constant score.  Nothing is trained on texts stripped of punctuation.  The chain has no
-transition scores, so each candidate is decided by the sign of its own score; a quotation's
-inner boundaries are put down by a preset score before that.
+scripts written without punctuation, blanks) can be boundaries at all.  Emissions come from
+counts over the whole corpus that need no labels: an empty line is a certain boundary, so
+what stands before and behind empty lines shows how sentences end and begin, and what is
+followed by a small letter shows where none ends.  Transitions are counted from candidates
+that stand side by side and whose tags are certain, by the length of text between them.
+What a blank says where no marks are written is learned from text of scripts without blanks
+between words that has marks: they are stripped off, and the blanks they leave are set
+against the blanks that stood there.  Whether a script is punctuated is seen from its
+paragraph ends.
+
+Viterbi decodes the chain.  Its state is the last tag and what the open quotation allows: one
+that opened in mid-sentence holds no boundary, and one that holds a boundary must end with
+one, so that a quotation is split or run through as a whole.
 """
 
 from __future__ import annotations
@@ -35,23 +40,33 @@ MAY_END = frozenset("a.m p.m etc usw inc ltd co corp bros jr u.s u.k lbs г ру
 # Of the first ones, those that only a number follows.
 NUMBERED = frozenset("no nos sec fig art p pp vol ch nr abschn pág págs núm стр".split())
 # Sentence terminals, closing marks, opening marks.
-TERMINALS = ".!?…。！？।॥؟۔．｡"
-HARD = "。！？।॥؟۔｡"
+TERMINALS = ".!?…。！？।॥؟۔．｡။។៕"
+HARD = "。！？।॥؟۔｡။។៕"
 CLOSERS = "\"'”’»)]」』）】›"
 OPENERS = "\"'“‘«([「『（【‹„¿¡"
 PAIRS = {"“": "”", "„": "“”", "«": "»", "「": "」", "『": "』", "(": ")", "（": "）", "[": "]", "【": "】", "‘": "’", "‹": "›"}
-#: What is counted of a key: ends and others and small letters behind a stop, paragraph
-#: starts, places behind a stop and in the middle; N is a script's end without a stop.
+#: What is counted of a key: ends (or boundaries), others, and small letters behind a stop (or
+#: insides), paragraph starts, places behind a stop and in the middle; N is a script's end
+#: without a stop.
 TAGS = "EOLSAMN"
+#: Weight of the overall share in a transition, and the most that one can say.
+SMOOTH, MOST = 20.0, 0.75
+#: What one broken rule of quotations costs.
+RULE = 20.0
 
-_CANDIDATE = regex.compile(r"[.!?…。！？।॥؟۔．｡]+(?:[   ]?[»›]|[\"'”’)\]」』）】]|(?<=[.!?…])“)*")
+_CANDIDATE = regex.compile(r"[.!?…。！？।॥؟۔．｡။។៕]+(?:[   ]?[»›]|[\"'”’)\]」』）】]|(?<=[.!?…])“)*")
 _TOKEN = regex.compile(r"[\p{L}\p{M}\p{N}][\p{L}\p{M}\p{N}.'’-]*")
 _WORDS = regex.compile(r"\p{Lu}[\p{L}\p{M}]+")
 _GAP = re.compile(r"\n[^\S\n]*\n\s*")
 _UNSPACED = regex.compile(r"[\p{Han}\p{Hiragana}\p{Katakana}]")
 # Blocks of the scripts that part no words.
 _SCRIPTS = (("Thai", 0x0E00, 0x0E7F), ("Lao", 0x0E80, 0x0EFF), ("Myanmar", 0x1000, 0x109F), ("Khmer", 0x1780, 0x17FF))
+#: Paragraph ends with a stop that a script with stops of its own is taken to have shown.
+_OWN_STOPS = {"Myanmar": 4, "Khmer": 4}
 _SPACELESS = "".join(f"{chr(a)}-{chr(b)}" for _, a, b in _SCRIPTS)
+# Between two characters of scripts that have no blanks between words but have marks: marks that
+# are stripped off (group 1), or a blank of its own.
+_STRIPPED = regex.compile(r"(?<=[\p{Han}\p{Hiragana}\p{Katakana}])(?:([。！？]+)\s*|[^\S\n]+)(?=[\p{Han}\p{Hiragana}\p{Katakana}])")
 _BLANKS = re.compile(rf"(?<=[{_SPACELESS}])\s+|\s+(?=[{_SPACELESS}])")
 
 
@@ -115,6 +130,30 @@ def candidates(text: str, begin: int, end: int) -> list[tuple[int, int, bool]]:
     return sorted(set(found), key=lambda x: x[1])
 
 
+def _bucket(gap: int) -> int:
+    """Lengths of text between two candidates, by doubling."""
+    return min(gap.bit_length(), 8)
+
+
+def _step(run: str, gap: int) -> str:
+    """What a transition goes by: the kind of mark it leads to, and the length in between."""
+    mark = "h" if run[0] in HARD else "b" if run[0] in "!?" else "e" if run[0] == "…" or run[:2] == ".." else "d"
+    return f"{mark}{_bucket(gap)}"
+
+
+def _certain(text: str, mark: tuple[int, int, bool], end: int, key: str, nxt: str) -> str:
+    """The tag of a candidate that needs no model: 'E' boundary, 'L' inside, '' not known."""
+    start, stop, _ = mark
+    if stop == end:
+        return "E"
+    if nxt[:1].islower() and nxt == nxt.lower():
+        return "L"
+    run = text[start:stop]
+    if run[-1] in "!?" or run[-1] in HARD:
+        return "E"
+    return "E" if run == "." and len(key) >= 5 and key.isalpha() and nxt[:1].isupper() else ""
+
+
 def observe(text: str, into: Counter) -> None:
     """Count what one text shows about ends, beginnings and middles."""
     for begin, end in paragraphs(text):
@@ -124,10 +163,17 @@ def observe(text: str, into: Counter) -> None:
         if script:
             into["script", script, "E" if text[end - 1] in TERMINALS else "N"] += 1
         into["right", _right_key(text, begin, end), "S"] += 1
+        for m in _STRIPPED.finditer(text, begin, end):
+            into["blank", "", "E" if m[1] else "L"] += 1
+        before, at = "E", begin
         for start, stop, blank in marks:
             if blank:
                 continue
             key = _left_key(text, start)
+            tag = _certain(text, (start, stop, blank), end, key, "" if stop == end else _right_key(text, stop, end))
+            if before and tag:
+                into["pair", before + _step(text[start:stop], stop - at), tag] += 1
+            before, at = tag, stop
             if stop == end:
                 into["left", key, "E"] += 1
                 into["left", "", "E"] += 1
@@ -153,7 +199,28 @@ class Model:
         ended, going = whole.get("E", 0), whole.get("O", 0)
         self.rate = min(max((ended + 2) / (ended + going + 10), 0.05), 0.6)
         self.stay = math.log(1 - self.rate)
-        self.unpunctuated = {name for name, _, _ in _SCRIPTS if counts.get(("script", name), {}).get("E", 0) * 4 <= counts.get(("script", name), {}).get("N", 0) + 1}
+        script = lambda name, tag: counts.get(("script", name), {}).get(tag, 0)
+        self.unpunctuated = {name for name, _, _ in _SCRIPTS if (script(name, "E") + _OWN_STOPS.get(name, 0)) * 4 <= script(name, "N") + 1}
+        blank = counts.get(("blank", ""), {})
+        self.blank = math.log((blank.get("E", 0) + 3) / (blank.get("L", 0) + 1))
+        self.turns = self._turns()
+
+    def _turns(self) -> dict[tuple[int, int, str], float]:
+        """(last tag, tag, step) -> by how much likelier the tag is there than at all marks of
+        the kind."""
+        pairs = {key: c for (kind, key), c in self.counts.items() if kind == "pair"}
+        overall: dict[tuple[str, str], int] = {}
+        for key, c in pairs.items():
+            for tag in "EL":
+                overall[key[1], tag] = overall.get((key[1], tag), 1) + c.get(tag, 0)
+        made = {}
+        for key, c in pairs.items():
+            many = c.get("E", 0) + c.get("L", 0)
+            for tag in "EL":
+                share = overall[key[1], tag] / (overall[key[1], "E"] + overall[key[1], "L"])
+                score = math.log((c.get(tag, 0) + SMOOTH * share) / (many + SMOOTH) / share)
+                made[int(key[0] == "E"), int(tag == "E"), key[1:]] = max(-MOST, min(MOST, score))
+        return made
 
     def abbreviation(self, key: str) -> bool:
         """Would an ordinary last word so seldom stand before an empty line?"""
@@ -188,7 +255,7 @@ class Model:
         """Log-odds of a boundary at one candidate, apart from its neighbours."""
         start, stop, blank = mark
         if blank:
-            return 8.0 if {_spaceless(text[stop - 1]), _spaceless(text[_skip(text, stop, end)])} & self.unpunctuated else -8.0
+            return self.blank if {_spaceless(text[stop - 1]), _spaceless(text[_skip(text, stop, end)])} & self.unpunctuated else -8.0
         if stop == end:
             return 100.0
         run = text[start:stop]
@@ -255,52 +322,77 @@ def quotations(text: str, begin: int, end: int) -> list[tuple[int, int]]:
     return outer
 
 
+#: What an open quotation allows: none is open, it may be split, it may not, it has been.
+OUT, FRESH, BOUND, SPLIT = range(4)
+
+
 def boundaries(text: str, model: Model) -> list[int]:
     """Offsets just behind each sentence of a text."""
     ends: list[int] = []
     for begin, end in paragraphs(text):
         marks = candidates(text, begin, end)
         spans = quotations(text, begin, end)
-        opens = [s[0] for s in spans]
-        # States: last tag was inside (0) or boundary (1); a quotation is either run
-        # through or, where it stands alone, tagged within.
-        best = {1: (0.0, None)}
-        at = begin
-        for mark in marks:
-            start, stop, _ = mark
-            score = model.emission(text, begin, end, mark)
-            ix = bisect_left(opens, start) - 1
-            within = spans[ix] if ix >= 0 and spans[ix][0] < start and stop <= spans[ix][1] else None
-            closing = spans[ix] if ix >= 0 and spans[ix][0] < start <= spans[ix][1] < stop else None
-            if within and not _starts_fresh(text, begin, within[0], marks):
-                score = -20.0
-            elif within:
-                after = next((m for m in marks if m[0] <= within[1] < m[1]), None)
-                if after is None or model.emission(text, begin, end, after) < 0:
-                    score = -20.0
-            elif closing is None and stop == at:
-                score = -100.0
-            stay = max(best.values(), key=lambda v: v[0])
-            best = {0: stay, 1: (stay[0] + score, (stop, stay[1]))}
-            at = stop
-        path = max(best.values(), key=lambda v: v[0])[1]
-        here = []
-        while path:
-            here.append(path[0])
-            path = path[1]
-        here.reverse()
+        here = _decode(text, begin, end, marks, spans, model)
         if not here or here[-1] != end:
             here.append(end)
         ends.extend(here)
     return ends
 
 
-def _starts_fresh(text: str, begin: int, opening: int, marks: list[tuple[int, int, bool]]) -> bool:
-    """Whether a quotation opens where a sentence can open."""
-    at = opening
-    while at > begin and text[at - 1].isspace():
-        at -= 1
-    return at == begin or any(m[1] == at for m in marks)
+def _decode(text: str, begin: int, end: int, marks: list[tuple[int, int, bool]], spans: list[tuple[int, int]], model: Model) -> list[int]:
+    """The best tags of a paragraph's candidates, as the offsets tagged as boundaries.
+
+    A state is (last tag, what the open quotation allows); its value the score and the
+    boundaries so far, linked backwards.
+    """
+    opens = [s[0] for s in spans]
+    best: dict[tuple[int, int], tuple[float, tuple | None]] = {(1, OUT): (0.0, None)}
+    at, open_now = begin, -1
+
+    def keep(into: dict, state: tuple[int, int], score: float, path: tuple | None) -> None:
+        if state not in into or score > into[state][0]:
+            into[state] = (score, path)
+
+    for mark in marks:
+        start, stop, blank = mark
+        ix = bisect_left(opens, start) - 1
+        inside = ix if ix >= 0 and spans[ix][0] < start <= spans[ix][1] else -1
+        closes = inside >= 0 and stop > spans[inside][1]
+        if inside != open_now:
+            moved: dict = {}
+            for (tag, mode), (score, path) in best.items():
+                if mode == SPLIT:  # the quotation was split and went on behind its end
+                    score -= RULE
+                mode = OUT
+                if inside >= 0:
+                    before = spans[inside][0]
+                    while before > begin and text[before - 1].isspace():
+                        before -= 1
+                    mode = FRESH if before == begin or before == at and tag else BOUND
+                keep(moved, (tag, mode), score, path)
+            best, open_now = moved, inside
+        score = model.emission(text, begin, end, mark)
+        if stop == at and open_now < 0:
+            score = -100.0
+        step = "" if blank else _step(text[start:stop], stop - at)
+        after: dict = {}
+        for (tag, mode), (value, path) in best.items():
+            on, off = (0.0, 0.0) if blank else (model.turns.get((tag, 1, step), 0.0), model.turns.get((tag, 0, step), 0.0))
+            if closes:
+                keep(after, (0, OUT), value + off - (RULE if mode == SPLIT else 0.0), path)
+                keep(after, (1, OUT), value + on + score, (stop, path))
+            else:
+                keep(after, (0, mode), value + off, path)
+                keep(after, (1, SPLIT if mode in (FRESH, SPLIT) else mode), value + on + score - (RULE if mode == BOUND else 0.0), (stop, path))
+        best, at = after, stop
+        if closes:
+            open_now = -1
+    path = max(best.items(), key=lambda item: item[1][0] - (RULE if item[0][1] == SPLIT else 0.0))[1][1]
+    here = []
+    while path:
+        here.append(path[0])
+        path = path[1]
+    return here[::-1]
 
 
 def train(df: DataFrame, text: str = "text") -> Model:

@@ -1,8 +1,9 @@
 """Sentence boundaries on cases of ten languages and hostile texts."""
 
+import time
 from collections import Counter
 
-from paperloom.llm.sentences import Model, boundaries, observe, sentence_units, train
+from paperloom.llm.sentences import Model, boundaries, candidates, observe, sentence_units, train
 
 CASES = [
     ["Dr. Smith paid $ 3.50 at 5 p.m. near St. John.", "It works."], ["I left at 5 a.m. Nobody saw me."[:16], "Nobody saw me."], ["And then... silence.", "What a mess!", "No, really?!"], ['"Unplug it. Wait. Do it again!" was all they said.', "Hm."], ['He asked, "Is it safe?" and left.', "Fine."],
@@ -71,3 +72,41 @@ def test_model_of_telling_keys(spark):
         counts.setdefault((kind, key), {})[what] = n
     assert all(model.counts[k] == counts[k] for k in model.counts) and len(model.counts) < len(counts)
     assert all(boundaries(t, model) == boundaries(t, Model(counts)) for t in set(texts))
+
+
+def test_chain_against_single_thresholds():
+    """Decoding couples the tags of a quotation: its inner stops would be boundaries alone."""
+    model = Model({})
+    text = '"Unplug it. Wait. Do it again!" was all they said. "Go on. Wait." Then he left.'
+    marks = [m for m in candidates(text, 0, len(text))]
+    alone = [m[1] for m in marks if model.emission(text, 0, len(text), m) > 0]
+    assert alone == [11, 17, 50, 58, 65, 79]
+    assert boundaries(text, model) == [50, 58, 65, 79]
+
+
+def test_transitions_decide():
+    """A weak stop right behind one that ended nothing ends nothing, if the corpus says so."""
+    text = "Siehe bzw. 3. Mai und 5. Juni."
+    pairs = {("pair", "Ld2"): {"L": 500, "E": 2}, ("pair", "Ed5"): {"E": 400, "L": 400}, ("pair", "Ld5"): {"E": 300, "L": 100}}
+    left = {("left", "bzw"): {"L": 500}}
+    assert 13 in boundaries(text, Model(left))
+    assert 13 not in boundaries(text, Model(left | pairs))
+    assert Model(left | pairs).turns[0, 0, "d2"] > 0 > Model(left | pairs).turns[0, 1, "d2"]
+
+
+def test_blanks_learned_from_stripped_text():
+    """Scripts with stops of their own go by them; the others by blanks, as stripped text has it."""
+    burmese = "ကောင်းသည် ဟု သူပြောသည်။ ထို့နောက် သူသွားသည်။"
+    assert boundaries(burmese, Model({})) == [burmese.index("။") + 1, len(burmese)]
+    seen: Counter = Counter()
+    for _ in range(5):
+        observe("他来了。她走了。你好 吗！", seen)
+    assert seen["blank", "", "E"] == 5 and seen["blank", "", "L"] == 5
+    assert Model({("blank", ""): {"E": 90, "L": 1}}).blank > 3 > 0 > Model({("blank", ""): {"E": 1, "L": 90}}).blank
+
+
+def test_long_quotation_is_linear():
+    began = time.time()
+    text = '"' + "He came. She left. " * 10_000 + 'Done." was all.'
+    assert boundaries(text, Model({})) == [len(text)]
+    assert time.time() - began < 20
