@@ -101,7 +101,7 @@ def test_blanks_learned_from_stripped_text():
     seen: Counter = Counter()
     for _ in range(5):
         observe("他来了。她走了。你好 吗！", seen)
-    assert seen["blank", "", "E"] == 5 and seen["blank", "", "L"] == 5
+    assert seen["blank", "", "E"] == 10 and seen["blank", "", "L"] == 5
     assert Model({("blank", ""): {"E": 90, "L": 1}}).blank > 3 > 0 > Model({("blank", ""): {"E": 1, "L": 90}}).blank
 
 
