@@ -1,15 +1,17 @@
 """Token ids of a whole corpus by a public byte-level BPE vocabulary.
 
 Each Python worker holds an in-process DuckDB with the merge table.  The distinct words
-of a batch become rows (word, position, token); a recursive query joins neighbouring
-positions with the merge table and contracts, in all words at once, the pairs of least
-rank, left to right, until no pair of any word is in the table.  An ordered aggregation
-reads the tokens back.
+of a batch become rows (segment, position, token), a segment being a word at first; a
+recursive query joins neighbouring positions with the merge table and contracts, in all
+words at once, the pairs of least rank, left to right, until no pair is in the table.  The
+tokens are read back in the order of their positions.
 """
 
 from __future__ import annotations
 
 import json
+import os
+import tempfile
 from collections.abc import Iterator
 
 import numpy as np
@@ -26,37 +28,48 @@ MEMORY = 200_000
 #: Symbols contracted in one recursive query.
 SLAB_SYMBOLS = 400_000
 
-# All occurrences of a word's best pair are contracted in one round: merged tokens have
-# higher ranks than what they are made of, so this equals one leftmost pair at a time.
+# Merged tokens have higher ranks than what they are made of, so a word's pairs are merged by
+# rising rank.  `potentials` has for two neighbouring tokens the least rank of any merge that can
+# ever cross the border between them, however both grow; where there is none, the word falls into
+# segments that go on by themselves.  In a round a segment contracts its pair of least rank, and
+# every other pair that nothing can forestall: both neighbouring pairs rank higher, and no merge
+# below its rank can cross the borders behind them.  This equals one leftmost pair of least rank
+# at a time.  A segment without pairs is done and leaves the recursion.
 CONTRACT = """
-with recursive step(round, w, p, t) as (
-    select 0, w, p, t from symbols
+with recursive step(seg, p, t, done) as (
+    select seg, p, t, false from symbols
     union all
-    select round + 1, w, p, case when taken then made else t end
+    select seg, p, case when taken then made else t end, best = 2147483647
     from (
-        select *, coalesce(lag(taken) over (partition by w order by p), false) as eaten
+        select *, coalesce(lag(taken) over (partition by seg order by p), false) as eaten
         from (
-            select *, hit and (i - min(i) over (partition by w, island)) % 2 = 0 as taken
+            select *, hit and (i - min(i) over (partition by seg, island)) % 2 = 0 as taken
             from (
-                select *, i - sum(hit::int) over (partition by w order by p) + (not hit)::int * 1000000000 as island
+              select *, rank < 2147483647 and (rank = best or bool_and(free) over (partition by seg, island)) as hit
+              from (
+                select *, i - sum((rank < 2147483647 and rl = rank)::int) over (partition by seg order by p) as island,
+                    (rl = rank or rl > rank and pl > rank) and (rr = rank or rr > rank and pr > rank) as free
                 from (
-                    select *, coalesce(rank = min(rank) over (partition by w), false) as hit, min(rank) over (partition by w) as best
+                    select seg2 as seg, p, t, rank, made, row_number() over o as i, min(rank) over (partition by seg2) as best,
+                        lag(rank, 1, 2147483647) over o as rl, lead(rank, 1, 2147483647) over o as rr, lag(pot, 1, 2147483647) over o as pl, lead(pot, 1, 2147483647) over o as pr
                     from (
-                        select s.*, m.rank, m.made
-                        from (select *, lead(t) over (partition by w order by p) as u, row_number() over (partition by w order by p) as i from step) s
-                        left join merges m on m.l = s.t and m.r = s.u
+                        select *, max(case when before = 2147483647 then p end) over (partition by seg order by p) as seg2
+                        from (
+                            select s.*, coalesce(m.rank, 2147483647) as rank, m.made, coalesce(x.pot, 2147483647) as pot, lag(coalesce(x.pot, 2147483647), 1, 2147483647) over (partition by seg order by p) as before
+                            from (select seg, p, t, lead(t) over (partition by seg order by p) as u from step where not done) s
+                            left join merges m on m.l = s.t and m.r = s.u
+                            left join potentials x on x.l = s.t and x.r = s.u
+                        )
                     )
+                    window o as (partition by seg2 order by p)
                 )
-                where best is not null
+              )
             )
         )
     )
     where not eaten
 )
-select w, list(t order by p) as ids
-from (select *, max(round) over (partition by w) as final from step)
-where round = final
-group by w order by w
+select p, t from step where done order by p
 """
 
 
@@ -80,18 +93,43 @@ def read_vocabulary(path: str) -> tuple[list[int], list[tuple[int, int, int, int
     return [ids[symbols[b]] for b in range(256)], merges
 
 
+def potentials(merges: list[tuple[int, int, int, int]]) -> list[tuple[int, int, int]]:
+    """(left, right, least rank) of all pairs of tokens whose border some merge can cross.
+
+    A merge crosses it if the left token ends its left part, being that part, the right half
+    of it, and so on, and the right token begins its right part.
+    """
+    first = {made: left for left, _, _, made in merges}
+    last = {made: right for _, right, _, made in merges}
+
+    def chain(token: int, halves: dict[int, int]) -> list[int]:
+        out = [token]
+        while out[-1] in halves:
+            out.append(halves[out[-1]])
+        return out
+
+    least: dict[tuple[int, int], int] = {}
+    for left, right, rank, _ in merges:
+        for a in chain(left, last):
+            for b in chain(right, first):
+                least[a, b] = min(rank, least.get((a, b), rank))
+    return [(a, b, rank) for (a, b), rank in least.items()]
+
+
 class Contractor:
     """One worker's DuckDB and its memory of words."""
 
-    def __init__(self, byte_ids: list[int], merges: np.ndarray):
+    def __init__(self, byte_ids: list[int], merges: np.ndarray, crossing: np.ndarray):
         import duckdb
 
         self.byte_ids = np.array(byte_ids, np.int32)
-        self.db = duckdb.connect(config={"threads": 1, "memory_limit": "512MB"})
-        table = pa.table({name: pa.array(merges[:, k], pa.int32()) for k, name in enumerate(("l", "r", "rank", "made"))})
-        self.db.register("given", table)
-        self.db.execute("create table merges as select * from given")
-        self.db.unregister("given")
+        # It spills where Spark's own workers do.
+        spill = os.environ.get("SPARK_LOCAL_DIRS", tempfile.gettempdir()).split(",")[0]
+        self.db = duckdb.connect(config={"threads": 1, "memory_limit": "512MB", "temp_directory": os.path.join(spill, f"duckdb-{os.getpid()}")})
+        for name, rows, columns in (("merges", merges, ("l", "r", "rank", "made")), ("potentials", crossing, ("l", "r", "pot"))):
+            self.db.register("given", pa.table({c: pa.array(rows[:, k], pa.int32()) for k, c in enumerate(columns)}))
+            self.db.execute(f"create table {name} as select * from given")
+            self.db.unregister("given")
         self.known: dict[str, list[int]] = {}
 
     def learn(self, words: list[str]) -> None:
@@ -101,15 +139,16 @@ class Contractor:
             while begin + len(raws) < len(words) and (size < SLAB_SYMBOLS or not raws):
                 raws.append(words[begin + len(raws)].encode("utf-8", "surrogatepass"))
                 size += len(raws[-1])
-            lengths = np.fromiter((len(r) for r in raws), np.int64, len(raws))
-            owner = np.repeat(np.arange(len(raws), dtype=np.int32), lengths)
-            place = np.arange(size) - np.repeat(np.cumsum(lengths) - lengths, lengths)
+            bounds = np.concatenate([[0], np.cumsum([len(r) for r in raws])])
+            owner = np.repeat(bounds[:-1], np.diff(bounds)).astype(np.int32)
             tokens = self.byte_ids[np.frombuffer(b"".join(raws), np.uint8)]
-            self.db.register("symbols", pa.table({"w": owner, "p": place.astype(np.int32), "t": tokens}))
+            self.db.register("symbols", pa.table({"seg": owner, "p": np.arange(size, dtype=np.int32), "t": tokens}))
             result = self.db.sql(CONTRACT).to_arrow_table()
             self.db.unregister("symbols")
-            for w, ids in zip(result.column("w").to_pylist(), result.column("ids").to_pylist()):
-                self.known[words[begin + w]] = ids
+            ids = result.column("t").to_numpy()
+            cuts = np.searchsorted(result.column("p").to_numpy(), bounds)
+            for k in range(len(raws)):
+                self.known[words[begin + k]] = ids[cuts[k]:cuts[k + 1]].tolist()
             begin += len(raws)
 
 
@@ -121,7 +160,8 @@ def encode_column(df: DataFrame, text: str, target: str = "ids", vocabulary: str
     replaced.
     """
     byte_ids, merge_list = read_vocabulary(vocabulary)
-    merges = np.array(merge_list, np.int32)  # fixed by the vocabulary: 50 000 rows
+    # Both are fixed by the vocabulary: 50 000 and 109 000 rows.
+    merges, crossing = np.array(merge_list, np.int32), np.array(potentials(merge_list), np.int32)
     kept = df.drop(target)
     schema = StructType([*kept.schema.fields, StructField(target, ArrayType(IntegerType()))])
 
@@ -132,7 +172,7 @@ def encode_column(df: DataFrame, text: str, target: str = "ids", vocabulary: str
         worker: Contractor | None = None
         for batch in batches:
             if worker is None:
-                worker = Contractor(byte_ids, merges)
+                worker = Contractor(byte_ids, merges, crossing)
             rows = [split(t) if t else [] for t in batch.column(batch.schema.names.index(text)).to_pylist()]
             if len(worker.known) > MEMORY:
                 worker.known.clear()

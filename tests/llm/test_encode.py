@@ -3,11 +3,13 @@
 import base64
 import os
 import random
+import time
 
+import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
-from paperloom.llm.encode import PATTERN, VOCABULARY, encode_column, encode_documents
+from paperloom.llm.encode import PATTERN, VOCABULARY, Contractor, encode_column, encode_documents, potentials, read_vocabulary
 
 pytestmark = pytest.mark.skipif(not os.path.exists(VOCABULARY), reason="needs the public vocabulary")
 
@@ -40,3 +42,34 @@ def test_decodes_back(spark):
     df = spark.createDataFrame(list(enumerate(texts)), "doc_id bigint, text string")
     for row in encode_documents(df).where(F.col("doc_id").isNotNull()).collect():
         assert model.decode(row.ids) == texts[row.doc_id]
+
+
+@pytest.mark.parametrize("alphabet", ["acgt", "abcdefghijklmnopqrstuvwxyzABCDEFGHIJKLMNOPQRSTUVWXYZ", "a", "的一是不了人我在有他这中大来上国", "กขคงจฉชซญฐ"])
+def test_long_words(reference, alphabet):
+    """One word of a million bytes is contracted in time that grows with its length alone."""
+    byte_ids, merges = read_vocabulary(VOCABULARY)
+    worker = Contractor(byte_ids, np.array(merges, np.int32), np.array(potentials(merges), np.int32))
+    rng = random.Random(3)
+    took = []
+    for size in (20_000, 1_000_000):
+        word = "".join(rng.choice(alphabet) for _ in range(size // len(alphabet[0].encode())))
+        began = time.time()
+        worker.learn([word])
+        took.append(time.time() - began)
+        if size == 20_000 and len(set(alphabet)) > 1:
+            assert worker.known[word] == reference(word)
+        else:
+            parts = [worker.known[word][0:40], worker.known[word][-40:]]
+            assert all(parts)
+    assert took[1] < 60
+
+
+def test_contraction_against_single_steps(reference):
+    """Words over few letters, with many ties and overlaps, all at once."""
+    byte_ids, merges = read_vocabulary(VOCABULARY)
+    worker = Contractor(byte_ids, np.array(merges, np.int32), np.array(potentials(merges), np.int32))
+    rng = random.Random(4)
+    words = sorted({"".join(rng.choice(rng.choice(["ab", "aet", "eaoinst", "....--==", "abcdefghijklmnopqrstuvwxyz"])) for _ in range(rng.randrange(1, 90))) for _ in range(4000)})
+    words = [w for w in words if w.isalpha() or not any(c.isalpha() for c in w)]
+    worker.learn(words)
+    assert all(worker.known[w] == reference(w) for w in words)
