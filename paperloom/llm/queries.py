@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from paperloom.llm.encode import encode_documents
 from paperloom.llm.entities import link_names
-from paperloom.llm.leaks import find_leaks
+from paperloom.llm.leaks import find_leaks, find_similar
 from paperloom.llm.lookalike import add_canonical, lookalike_pairs
 from paperloom.llm.personal import find_personal, redact
 from paperloom.llm.pieces import cut_texts
@@ -99,6 +99,10 @@ def p9_found(spark: SparkSession, sf_dir: str) -> DataFrame:
     return find_leaks(table(spark, sf_dir, "documents"), table(spark, sf_dir, "eval_items"))
 
 
+def p9_similar(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return find_similar(table(spark, sf_dir, "documents"), table(spark, sf_dir, "eval_items"))
+
+
 def p10_sentences(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents")
     return sentence_units(docs, train(docs))
@@ -110,7 +114,7 @@ def p10_found(spark: SparkSession, sf_dir: str) -> DataFrame:
     return sentence_units(plain, train(docs)).select("doc_id", "sent_end").dropDuplicates()
 
 
-QUERIES = {f.__name__: f for f in (p1_found, p2_found, p2_links, p3_found, p3_pieces, p3_counts, p4_found, p4_paragraphs, p7_found, p7_redacted, p8_ids, p9_found, p10_found, p10_sentences)}
+QUERIES = {f.__name__: f for f in (p1_found, p2_found, p2_links, p3_found, p3_pieces, p3_counts, p4_found, p4_paragraphs, p7_found, p7_redacted, p8_ids, p9_found, p9_similar, p10_found, p10_sentences)}
 
 SQL: dict[str, str] = {
     "p3_found": """

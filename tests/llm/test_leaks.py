@@ -1,10 +1,12 @@
 """Leaked passages against brute force."""
 
+import math
 import random
+from collections import Counter
 
 import numpy as np
 
-from paperloom.llm.leaks import Hasher, Windows, find_leaks, fingerprints, ideographs_of, words_of
+from paperloom.llm.leaks import Hasher, Windows, find_leaks, find_similar, fingerprints, ideographs_of, shingles, weighted_similarity, words_of
 
 WORDS = [f"w{i}" for i in range(400)]
 
@@ -46,12 +48,49 @@ def test_against_brute_force(spark):
 def test_multi_index_misses_nothing_within_the_radius():
     rng = np.random.default_rng(1)
     hasher = Hasher()
-    units = hasher([rng.choice(WORDS) for _ in range(500)])
-    index = Windows([(0, units)], 12)
-    for _ in range(300):
-        k = int(rng.integers(len(index.print)))
-        near = index.print[k]
-        for bit in rng.choice(64, 3, replace=False):
-            near ^= np.uint64(1) << np.uint64(bit)
-        assert k in index.candidates(np.array([near], np.uint64))[1]
-    assert len(fingerprints(units[:5], 12)) == 0
+    units = [str(rng.choice(WORDS)) for _ in range(500)]
+    for radius, width in ((3, 12), (7, 48)):
+        index = Windows([(0, units)], width, hasher, radius)
+        for _ in range(300):
+            k = int(rng.integers(len(index.print)))
+            near = index.print[k]
+            for bit in rng.choice(64, radius, replace=False):
+                near ^= np.uint64(1) << np.uint64(bit)
+            assert k in index.candidates(np.array([near], np.uint64))[1]
+    assert len(fingerprints(hasher(units[:5]), 12)) == 0
+    long = hasher(units * 200)  # sums beyond 16 bits
+    votes = np.unpackbits(long[-12:].view(np.uint8).reshape(-1, 8), axis=1, bitorder="little").sum(axis=0)
+    assert fingerprints(long, 12)[-1] == np.packbits(votes > 6, bitorder="little").view("<u8")[0]
+
+
+def test_similar_against_brute_force(spark):
+    """Items with a word changed in forty are found with their similarity, other texts are not."""
+    rng = random.Random(8)
+    items = [(i, " ".join(rng.choice(WORDS) for _ in range(rng.randrange(48, 70))), "en") for i in range(30)] + [(98, "short", "en"), (99, None, None)]
+    docs = []
+    for d in range(600):
+        words = rng.choice(items[:30])[1].split()
+        for _ in range(d % 4):
+            words[rng.randrange(len(words))] = rng.choice(WORDS) + "x"
+        docs.append((d, " ".join([rng.choice(WORDS) for _ in range(d % 7)] + words + ["end"] * (d % 5)), 0))
+    docs += [(700, None, 0), (701, "", 0), (None, items[0][1], 0)]
+    left, right = frames(spark, docs, items)
+    got = {(r.doc_id, r.item_id): r.similarity for r in find_similar(left, right).collect()}
+    spread = Counter(s for _, t, _ in items[:31] for s in set(shingles(words_of(t))))
+    weight = lambda s: 1 + math.log(32 / (1 + spread[s]))
+    want = {}
+    for d, text, _ in docs[:600]:
+        mine = words_of(text)
+        for i, t, _ in items[:30]:
+            theirs = words_of(t)
+            starts = sorted({*range(0, len(theirs) - 47, 6), len(theirs) - 48})
+            if len(set(mine) & set(theirs)) < 30:
+                continue
+            most = max((weighted_similarity(shingles(mine[a:a + 48]), shingles(theirs[b:b + 48]), weight) for a in range(len(mine) - 47) for b in starts), default=0)
+            if most >= 0.8:
+                want[d, i] = most
+    assert set(got) <= set(want) and len(got) >= 0.97 * len(want)
+    assert sum(abs(got[p] - want[p]) < 1e-9 for p in got) >= 0.97 * len(got)
+    assert {d for d, _ in got} >= {d for d in range(600) if d % 4 == 0}
+    assert sum(d % 4 == 1 for d, _ in got) >= 120
+    assert find_similar(left.limit(0), right).count() == 0 and find_similar(left, right.limit(0)).count() == 0
