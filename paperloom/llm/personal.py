@@ -187,7 +187,7 @@ def _normal(kind: str, surface: str) -> str:
 
 
 def _scan(df: DataFrame, key: str, text: str, common: dict[str, int]) -> DataFrame:
-    shared = df.sparkSession.sparkContext.broadcast(frozenset(common))  # bounded by its share
+    shared = df.sparkSession.sparkContext.broadcast(frozenset(common))  # as large as the words written small
     names = ["id", "kind", "begin", "end", "surface", "instance", "first", "patterns", "prior"]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -247,7 +247,7 @@ def find_personal(df: DataFrame, key: str, text: str, seed_names: DataFrame, see
 
     # A capitalised cue ("Applicant", "Name") is no part of the name behind it: it stands as
     # a strong word before names and is no known part of one.
-    cues = strong.where("kind = 'person' and pattern like 'l1:%'").select(F.substring("pattern", 4, 100).alias("_cue"))
+    cues = strong.where("kind = 'person' and pattern like 'l1:%'").select(F.expr("substring(pattern, 4)").alias("_cue"))
     fold_first = F.pandas_udf(_folded_firsts, "string")
     cue_words = (
         found.where("kind = 'person'").select("first").distinct().join(tokens.withColumnRenamed("token", "first"), "first", "left_anti")

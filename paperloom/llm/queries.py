@@ -60,7 +60,7 @@ def p3_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def _scans(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, dict[str, int]]:
     texts = delivered_once(table(spark, sf_dir, "inspections"), "inspection_id", "full_text")
-    return texts, count_lexicon(texts, "full_text", share=0)
+    return texts, count_lexicon(texts, "full_text")
 
 
 def p4_found(spark: SparkSession, sf_dir: str) -> DataFrame:

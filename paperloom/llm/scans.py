@@ -13,9 +13,11 @@ from __future__ import annotations
 import math
 import re
 import unicodedata
+import uuid
 from collections import Counter
-from collections.abc import Iterator
+from collections.abc import Iterable, Iterator
 
+import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -32,16 +34,18 @@ OF_WORDS = ("of", "von", "de", "sur", "av", "/")
 SOFT_BREAKS = "¬­"
 HYPHEN_BREAKS = "-‐‑⁃"
 DIGIT_FOR = str.maketrans("OoQDlI|iSsZzBgqA", "0000111155228994")
-#: A word of this share of all words is common, and a rarer one may be split or merged.
-LEAST_SHARE = 2e-6
+#: A word of this share of all words is common, and a rarer one may be split or merged.  A rate:
+#: it drops no word, and more text of the same kind leaves it where it is.
+COMMON_SHARE = 2e-6
 
 _WORD = re.compile(r"[^\W_]+(?:['’|$€][^\W_]+)*")
+_LETTERS = re.compile(r"[^\W\d_]+")
 _COMPOUND = re.compile(r"[^\W\d_]+(?:[-‐‑][^\W\d_]+)+")
 # Addresses of mail and web, and blobs of characters, hold no words.
 _SKIP = re.compile(r"\S*(?:@|://|www\.|[(\[](?:at|dot)[)\]])\S*|\S+(?= ?[(\[]at[)\]])|[!-~]{30,}")
 _SUSPECT = re.compile(r"@|://|www\.|[(\[](?:at|dot)[)\]]|[!-~]{30}")
 _CJK = re.compile(r"[぀-ヿ㐀-鿿가-힯฀-๿]")
-_CASES = re.compile(r"(?:[^\W\d_]|[0-9|$€]){2,24}")
+_CASES = re.compile(r"(?:[^\W\d_]|[0-9|$€]){2,}")
 
 
 def lexicon_words(text: str) -> Iterator[str]:
@@ -55,12 +59,11 @@ def lexicon_words(text: str) -> Iterator[str]:
             yield m[0].lower().replace("‐", "-").replace("‑", "-")
 
 
-def count_lexicon(df: DataFrame, text: str, words=lexicon_words, share: float = LEAST_SHARE) -> dict[str, int]:
-    """Word counts over all texts, of the words that reach the share.  ``words`` gives the
-    words of a text.
+def count_lexicon(df: DataFrame, text: str, words=lexicon_words) -> dict[str, int]:
+    """Word counts over all texts; ``words`` gives the words of a text.
 
-    A share bounds the result to 1 / share words whatever the corpus; with share 0 every
-    word is counted.  Words of digits alone are no entries.
+    No word is left out, so the result is as large as the vocabulary.  Words of digits alone
+    are no entries of lexicon_words().
     """
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -72,11 +75,49 @@ def count_lexicon(df: DataFrame, text: str, words=lexicon_words, share: float =
             yield pa.RecordBatch.from_arrays([pa.array(list(seen), pa.string()), pa.array(list(seen.values()), pa.int64())], names=["word", "n"])
 
     counts = df.select(text).mapInArrow(run, "word string, n bigint").groupBy("word").agg(F.sum("n").alias("n"))
-    if not share:
-        return {row.word: row.n for row in counts.toLocalIterator()}
-    total = counts.agg(F.sum("n")).first()[0] or 0
-    least = max(1, math.ceil(total * share))
-    return {row.word: row.n for row in counts.where(F.col("n") >= least).toLocalIterator()}
+    return {row.word: row.n for row in counts.toLocalIterator()}
+
+
+class Tree:
+    """Lexicon words by their letters, for words with two confusions: only beginnings that
+    some word has are followed up."""
+
+    END = ""
+
+    def __init__(self, words: Iterable[str]):
+        self.root: dict = {}
+        for word in words:
+            node = self.root
+            for c in word:
+                node = node.setdefault(c, {})
+            node[self.END] = {}
+
+    def twice(self, word: str) -> Iterator[tuple[str, tuple[str, str]]]:
+        """(word of the lexicon in the print's case, kinds) of what stood there, if two places
+        of the print were misread."""
+        open_ = [(0, self.root, "", ())]
+        while open_:
+            at, node, made, kinds = open_.pop()
+            if at == len(word):
+                if len(kinds) == 2 and self.END in node:
+                    yield made, kinds
+                continue
+            child = node.get(word[at].lower())
+            if child is not None:
+                open_.append((at + 1, child, made + word[at], kinds))
+            if len(kinds) < 2:
+                for size, kind, table in _TABLES:
+                    for true in table.get(word[at:at + size], ()):
+                        child = node
+                        for c in true.lower():
+                            child = child.get(c)
+                            if child is None:
+                                break
+                        else:
+                            open_.append((at + size, child, made + true, (*kinds, kind)))
+
+
+_TABLES = ((1, "sure", SURE), (1, "plain", PLAIN), (2, "paired", PAIRED))
 
 
 class Decoder:
@@ -85,7 +126,8 @@ class Decoder:
     def __init__(self, lexicon: dict[str, int]):
         self.lexicon = lexicon
         self.total = max(sum(lexicon.values()), 1)
-        self.least = max(1, math.ceil(self.total * LEAST_SHARE))
+        self.least = max(1, math.ceil(self.total * COMMON_SHARE))
+        self.tree = Tree(word for word, n in lexicon.items() if n >= MARGIN["sure"] ** 2)
         self.known: dict[str, tuple[str, float] | None] = {}
         self.plain: set[str] = set()  # common words that stand as they are
 
@@ -121,14 +163,13 @@ class Decoder:
             if len(letters) >= 2 and (len(word) > 2 or word.islower()) and not (mixed and word.upper() == word and len(letters) < 4):
                 for variant, kind in self._variants(word):
                     n = self.lexicon.get(variant.lower(), 0)
-                    if n >= MARGIN[kind] * max(own, 1) and n >= 3 and (best is None or n > best[2]):
+                    if n >= MARGIN[kind] * max(own, 1) and (best is None or n > best[2]):
                         best = (variant, math.log(self.total / n) + math.log(MARGIN[kind]) + 1.0, n)
-                if best is None and len(word) >= 6 and own <= 2:
-                    for first, kind_a in self._variants(word):
-                        for variant, kind_b in self._variants(first):
-                            n = self.lexicon.get(variant.lower(), 0)
-                            if variant != word and n >= MARGIN[kind_a] * MARGIN[kind_b] * max(own, 1) and (best is None or n > best[2]):
-                                best = (variant, math.log(self.total / n) + math.log(MARGIN[kind_a] * MARGIN[kind_b]) + 2.0, n)
+                if best is None and len(word) >= 6:
+                    for variant, kinds in self.tree.twice(word):
+                        n, margin = self.lexicon[variant.lower()], MARGIN[kinds[0]] * MARGIN[kinds[1]]
+                        if n >= margin * max(own, 1) and (best is None or n > best[2]):
+                            best = (variant, math.log(self.total / n) + math.log(margin) + 2.0, n)
                 if best is None and mixed and _digit_in_word(word):
                     best = (word, self.cost(word), 1)
         verdict = None if best is None else (best[0], best[1])
@@ -162,12 +203,14 @@ class Decoder:
     def decode(self, words: list[str]) -> list[tuple[int, int, str, str]]:
         """Best path over a stream of words: (begin, end, text, what) per edge; what is
         'same', 'misread', 'merge' or 'split'."""
-        n = len(words)
-        if not all(word in self.plain or self._plain(word) for word in words):
+        if not self.all_plain(words):
             return self._decode(words)
-        # No other edge leaves or joins common words that are no misreadings.
         return [(i, i + 1, word, "same") for i, word in enumerate(words)]
 
+    def all_plain(self, words: list[str]) -> bool:
+        """No other edge leaves or joins common words that are no misreadings."""
+        return self.plain.issuperset(words) or all(word in self.plain or self._plain(word) for word in words)
+
     def _plain(self, word: str) -> bool:
         if not self._common(word.lower()) or self.corrected(word):
             return False
@@ -187,7 +230,7 @@ class Decoder:
             mended = self.corrected(word)
             if mended:
                 edges = [(i + 1, min(mended[1], plain), mended[0], "misread")]
-            elif not self._common(word.lower()) and word.isalpha() and len(word) <= 30:
+            elif not self._common(word.lower()) and word.isalpha():
                 for k in range(2, len(word) - 1):
                     a, b = word[:k].lower(), word[k:].lower()
                     if a in self.lexicon and b in self.lexicon and min(self.lexicon[a], self.lexicon[b]) * 5_000 > self.total:
@@ -210,7 +253,7 @@ class Decoder:
 
 def _digit_in_word(word: str) -> bool:
     """A digit where only a letter can stand: inside or at the edge of a cased word."""
-    if len(word) > 16 or sum(not c.isalpha() for c in word) > 1 + len(word) // 8:
+    if sum(not c.isalpha() for c in word) > 1 + len(word) // 8:
         return False
     letters = "".join(c for c in word if c.isalpha())
     shaped = letters.islower() or letters.istitle() or len(letters) > 1 and letters[1:].islower()
@@ -244,7 +287,7 @@ _FURNITURE_NUMBERS = (re.compile(rf"^\W*(){_TAIL}"), re.compile(rf"^\W*([^\W\d_]
 def page_number(line: str) -> tuple[str, int] | None:
     """(dress, number) if a line can be a page number and nothing else."""
     s = unicodedata.normalize("NFKC", line).strip()
-    if not s or len(s) > 24:
+    if not s:
         return None
     for shape in _FURNITURE_NUMBERS:
         m = shape.match(s)
@@ -273,11 +316,13 @@ _OF_FOLDS = {fold(w) for w in OF_WORDS if w != "/"}
 
 
 def _title_like(line: str) -> bool:
-    words = re.findall(r"[^\W\d_]+", line)
-    if not words or len(line) > 90 or line[-1:] in ".,;:" and line[-2:-1].islower():
+    if line.lstrip()[:1].islower():
+        return False
+    words = _LETTERS.findall(line)
+    if not words or line[-1:] in ".,;:" and line[-2:-1].islower():
         return False
     small = sum(w[0].islower() for w in words)
-    return small * 2 <= len(words) and line.lstrip()[:1].islower() is False
+    return small * 2 <= len(words)
 
 
 def furniture(lines: list[str]) -> dict[int, str]:
@@ -326,37 +371,102 @@ def furniture(lines: list[str]) -> dict[int, str]:
             key = fold(lines[k])
             if len(key) >= 7:
                 groups.setdefault(key, []).append(k)
-    keys = sorted(groups, key=lambda x: -len(groups[x]))
-    merged: list[tuple[str, list[int]]] = []
-    for key in keys:
-        for other, held in merged:
-            if abs(len(other) - len(key)) <= 3 and _close(other, key):
-                held.extend(groups[key])
-                break
+    merged: list[list[int]] = []
+    near = _Near()
+    for key in sorted(groups, key=lambda x: -len(groups[x])):
+        other = near.first(key)
+        if other is None:
+            near.add(key)
+            merged.append(list(groups[key]))
         else:
-            merged.append((key, list(groups[key])))
+            merged[other].extend(groups[key])
     marks = set(found)
     order = {k: i for i, k in enumerate(text)}
-    for key, held in merged:
+    for held in merged:
         if len(held) < 2:
             continue
         if marks:  # beside a page number, or at the document's edges, but for a few
-            near = sum(any(text[j] in marks for j in range(max(0, order[k] - 3), min(len(text), order[k] + 4))) or order[k] < 3 or order[k] >= len(text) - 3 for k in held)
-            if near * 2 < len(held):
+            beside = sum(any(text[j] in marks for j in range(max(0, order[k] - 3), min(len(text), order[k] + 4))) or order[k] < 3 or order[k] >= len(text) - 3 for k in held)
+            if beside * 2 < len(held):
                 continue
         for k in held:
             found[k] = "running"
     return found
 
 
+class _Near:
+    """Keys that differ by few edits, found by their equal parts.
+
+    A key within e edits of one of e + 1 parts has one of them unchanged with exactly as many
+    edits before it as parts: the edits before a part less the parts before it begin at nought,
+    end below it and sink by one at most, at an unchanged part.
+    """
+
+    def __init__(self) -> None:
+        self.keys: list[str] = []
+        self.lengths: set[int] = set()
+        self.parts: dict[tuple[int, int, int, str], list[int]] = {}
+        self.bags = np.zeros((64, 64), np.int16)
+
+    def add(self, key: str) -> None:
+        for edits in {_edits(key, other) for other in range(len(key) - 3, len(key) + 4)}:
+            for part, (begin, end) in enumerate(_cuts(len(key), edits)):
+                self.parts.setdefault((len(key), edits, part, key[begin:end]), []).append(len(self.keys))
+        if len(self.keys) == len(self.bags):
+            self.bags = np.concatenate([self.bags, np.zeros_like(self.bags)])
+        self.bags[len(self.keys)] = self._bag(key)
+        self.lengths.add(len(key))
+        self.keys.append(key)
+
+    @staticmethod
+    def _bag(key: str) -> np.ndarray:
+        """How often each letter occurs (letters may share a place)."""
+        return np.bincount(np.frombuffer(key.encode("utf-32-le"), np.uint32) % 64, minlength=64).astype(np.int16)
+
+    def first(self, key: str) -> int | None:
+        """The number of the first key added that is close to this one."""
+        met: set[int] = set()
+        for length in range(len(key) - 3, len(key) + 4):
+            if length not in self.lengths:
+                continue
+            edits = _edits(key, length)
+            for part, (begin, end) in enumerate(_cuts(length, edits)):
+                # Before the unchanged part stand at most so many edits as parts.
+                for at in range(max(0, begin - part), min(len(key) - (end - begin), begin + part) + 1):
+                    found = self.parts.get((length, edits, part, key[at:at + end - begin]))
+                    if found:
+                        met.update(found)
+        if not met:
+            return None
+        # An edit changes the counts of two letters at most.
+        order = np.array(sorted(met))
+        apart = np.abs(self.bags[order] - self._bag(key)).sum(axis=1)
+        return next((n for n in order[apart <= 2 * _edits(key, len(key) + 3)].tolist() if _close(self.keys[n], key)), None)
+
+
+def _edits(key: str, other: int) -> int:
+    """Edits that two keys may differ by: one in eight characters of the longer."""
+    return max(1, max(len(key), other) // 8)
+
+
+def _cuts(length: int, edits: int) -> list[tuple[int, int]]:
+    bounds = [length * k // (edits + 1) for k in range(edits + 2)]
+    return list(zip(bounds, bounds[1:]))
+
+
 def _close(a: str, b: str) -> bool:
     """At most one change in eight characters (banded edit distance)."""
     most = max(1, max(len(a), len(b)) // 8)
-    row = list(range(len(b) + 1))
+    if abs(len(a) - len(b)) > most:
+        return False
+    far = most + 1
+    row = [j if j <= most else far for j in range(len(b) + 1)]
     for i, x in enumerate(a, 1):
-        new = [i] + [0] * len(b)
-        for j, y in enumerate(b, 1):
-            new[j] = min(row[j] + 1, new[j - 1] + 1, row[j - 1] + (x != y))
+        new = [far] * (len(b) + 1)
+        if i <= most:
+            new[0] = i
+        for j in range(max(1, i - most), min(len(b), i + most) + 1):
+            new[j] = min(row[j] + 1, new[j - 1] + 1, row[j - 1] + (x != b[j - 1]))
         row = new
         if min(row) > most:
             return False
@@ -367,8 +477,9 @@ def _close(a: str, b: str) -> bool:
 _NUMBER_MISREAD = re.compile(r"(?!\d{7,}[A-Z])(?![A-HJ-NP-Z]\d+(?![\w.,]\w))(?<![\w@./-])(?=[\dOolISBZ.,]*\d)(?=\d*[.,]?\d*[OolISBZ])\d*[OolISBZ]?\d+[OolISBZ]?\d*(?:[.,][\dOolISBZ]+)?(?![\w@-])")
 
 
-def repair(text: str, decoder: Decoder) -> tuple[list[str], list[tuple[int, str]]]:
-    """(paragraphs, repairs as (line number, kind)) of one document."""
+def repair(text: str, decoder: Decoder, joined: bool = True) -> tuple[list[str], list[tuple[int, str]]]:
+    """(paragraphs, repairs as (line number, kind)) of one document; without ``joined`` the
+    lines are repaired and no paragraphs made."""
     lines = text.split("\n")
     set_aside = furniture(lines)
     noise = set(set_aside.items())
@@ -411,24 +522,27 @@ def repair(text: str, decoder: Decoder) -> tuple[list[str], list[tuple[int, str]
                 head_cut[nxt] = tail.start(1) + len(rest)
                 tail_join = whole
         part = line[begin:end]
-        out, last, masked = [], 0, _mask(part)
-        spans = [m for m in _WORD.finditer(masked)]
-        path = decoder.decode([m[0] for m in spans])
-        for i, j, fixed, what in path:
-            a, b = spans[i].start(), spans[j - 1].end()
-            out.append(part[last:a])
-            out.append(fixed if what != "same" else part[a:b])
-            last = b
-            if what == "misread":
-                noise.add((k, "misread"))
-        out.append(part[last:])
-        fixed_line = "".join(out)
+        masked = _mask(part)
+        fixed_line = part
+        spans = list(_WORD.finditer(masked))
+        words = [m[0] for m in spans]
+        if not decoder.all_plain(words):
+            out, last = [], 0
+            for i, j, fixed, what in decoder.decode(words):
+                a, b = spans[i].start(), spans[j - 1].end()
+                out.append(part[last:a])
+                out.append(fixed if what != "same" else part[a:b])
+                last = b
+                if what == "misread":
+                    noise.add((k, "misread"))
+            out.append(part[last:])
+            fixed_line = "".join(out)
         if _NUMBER_MISREAD.search(masked):
             noise.add((k, "misread"))
             fixed_line = _NUMBER_MISREAD.sub(lambda m: m[0].translate(DIGIT_FOR), fixed_line)
         made[k] = fixed_line + (tail_join or "")
         carried[k] = tail_join is not None
-    return _paragraphs(lines, body, made, carried), sorted(noise)
+    return _paragraphs(lines, body, made, carried) if joined else [], sorted(noise)
 
 
 def _mask(line: str) -> str:
@@ -497,15 +611,22 @@ def _paragraphs(lines: list[str], body: list[int], made: dict[int, str], carried
     return [re.sub(r"[^\S\n]+", " ", p) for p in out if p]
 
 
-def _run(df: DataFrame, key: str, text: str, lexicon: dict[str, int], schema: str, rows):
+_DECODERS: dict = {}
+
+
+def _run(df: DataFrame, key: str, text: str, lexicon: dict[str, int], schema: str, rows, joined: bool):
     shared = df.sparkSession.sparkContext.broadcast(lexicon)  # as large as the distinct words counted
+    name = uuid.uuid4().hex
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        decoder = Decoder(shared.value)
+        # A worker keeps its decoder, and the verdicts it came to, for the tasks that follow.
+        if _DECODERS.get("of") != name:
+            _DECODERS.update(of=name, decoder=Decoder(shared.value))
+        decoder = _DECODERS["decoder"]
         for batch in batches:
             for doc, value in zip(batch.column(0).to_pylist(), batch.column(1)):
                 if value.is_valid and value.as_py():
-                    made = rows(doc, *repair(value.as_py(), decoder))
+                    made = rows(doc, *repair(value.as_py(), decoder, joined))
                     if made is not None:
                         yield made
 
@@ -521,7 +642,7 @@ def repairs(df: DataFrame, key: str, text: str, lexicon: dict[str, int]) -> Data
         if noise:
             return pa.RecordBatch.from_arrays([pa.array([doc] * len(noise), pa.int64()), pa.array([n[0] for n in noise], pa.int32()), pa.array([n[1] for n in noise])], names=[key, "line_no", "noise"])
 
-    return _run(df, key, text, lexicon, f"`{key}` bigint, line_no int, noise string", rows)
+    return _run(df, key, text, lexicon, f"`{key}` bigint, line_no int, noise string", rows, False)
 
 
 def repaired(df: DataFrame, key: str, text: str, lexicon: dict[str, int]) -> DataFrame:
@@ -531,4 +652,4 @@ def repaired(df: DataFrame, key: str, text: str, lexicon: dict[str, int]) -> Dat
         if paras:
             return pa.RecordBatch.from_arrays([pa.array([doc] * len(paras), pa.int64()), pa.array(range(len(paras)), pa.int32()), pa.array(paras)], names=[key, "para_no", "paragraph"])
 
-    return _run(df, key, text, lexicon, f"`{key}` bigint, para_no int, paragraph string", rows)
+    return _run(df, key, text, lexicon, f"`{key}` bigint, para_no int, paragraph string", rows, True)
