@@ -30,6 +30,10 @@ Q, BAND_ROWS, AT_SIMILARITY, RECALL = 2, 2, 0.3, 0.975
 #: A name that is no registered one is its own centre from so many records, and from this
 #: share of the records of the centre it resembles.
 OWN_COUNT, OWN_SHARE = 3, 0.2
+#: Edits that two keys may differ by, as a share of the longer one.
+MOST_EDITS = 0.34
+#: Tasks that the records of one name are spread over where links meet records.
+SALTS = 16
 
 # Legal forms, long and short.
 LEGAL = {
@@ -124,6 +128,8 @@ class Vocabulary:
     def kind_of(self, word: str) -> tuple[str, str]:
         """('legal' | 'business' | 'town' | 'given' | 'initial' | 'key', canonical word)."""
         if word not in self.seen:
+            if len(self.seen) > 400_000:
+                self.seen.clear()
             self.seen[word] = self._kind_of(word)
         return self.seen[word]
 
@@ -194,11 +200,24 @@ def _given_fits(a: str, b: str) -> bool:
 
 def key_edits(a: str, b: str) -> int | None:
     """Edits between two keys, or None beyond a third of the longer one."""
-    most = max(1, int(max(len(a), len(b)) * 0.34))
+    most = max(1, int(max(len(a), len(b)) * MOST_EDITS))
     edits = damerau(a, b, most)
     return edits if edits <= most else None
 
 
+def letters_agree(a: pd.Series, b: pd.Series) -> np.ndarray:
+    """Whether the letters of two keys are so much alike that few edits can part them: an edit
+    changes the counts of two letters at most, a swap none."""
+    def bags(keys: pd.Series) -> np.ndarray:
+        lengths = keys.str.len().to_numpy(np.int64)
+        codes = np.frombuffer("".join(keys).encode("utf-32-le", "surrogatepass"), np.uint32) % 64
+        rows = np.repeat(np.arange(len(keys)), lengths)
+        return np.bincount(rows * 64 + codes, minlength=64 * len(keys)).reshape(-1, 64)
+
+    most = np.maximum(1, (np.maximum(a.str.len(), b.str.len()).to_numpy() * MOST_EDITS).astype(np.int64))
+    return np.abs(bags(a) - bags(b)).sum(axis=1) <= 2 * most
+
+
 def monge_elkan(a: tuple[str, str, str, str, str], b: tuple[str, str, str, str, str]) -> float:
     """Mean over the parts of the written name ``a`` of their best match in ``b``, each part
     weighted by how much it tells; 0 where a part contradicts."""
@@ -282,10 +301,13 @@ def link_names(records: DataFrame, name: str, register: DataFrame) -> DataFrame:
 
     @F.pandas_udf("boolean")
     def near(a: pd.Series, b: pd.Series) -> pd.Series:
-        return pd.Series([key_edits(x, y) is not None for x, y in zip(a, b)], dtype="bool")
+        close = letters_agree(a, b)
+        close[close] = [key_edits(x, y) is not None for x, y in zip(a[close], b[close])]
+        return pd.Series(close)
 
     # Keys too far apart can make no link; they go before the forms of a key are joined.
-    met = met.where(near("key", "o_key"))
+    reach = F.greatest(F.lit(1), F.floor(F.greatest(F.length("key"), F.length("o_key")) * MOST_EDITS))
+    met = met.where(F.abs(F.length("key") - F.length("o_key")) <= reach).where(near("key", "o_key"))
     forms = spelled.where("key <> ''").select("key", "given", "business", "legal", "town").distinct()
     pairs = met.join(orgs, "o_key").join(forms, "key").join(counts, "key")
     pairs = pairs.join(counts.select(F.col("key").alias("o_key"), F.col("key_n").alias("o_n")), "o_key", "left")
@@ -301,5 +323,10 @@ def link_names(records: DataFrame, name: str, register: DataFrame) -> DataFrame:
     form = ["key", "given", "business", "legal", "town"]
     ranked = scored.withColumn("_best", F.max(F.struct("score", "in_town")).over(Window.partitionBy(*form))).where(F.struct("score", "in_town") == F.col("_best"))
     linked = ranked.groupBy(*form).agg(F.count("*").alias("ties"), F.min("org_id").alias("org_id")).where("ties = 1").drop("ties")
-    named = spelled.join(linked, form).select("_name", "org_id")
-    return records.join(named, records[name] == named["_name"], "left").drop("_name")
+    # A name may stand in a third of all records: its rows go to SALTS tasks, and those without
+    # a name to none of them.
+    salts = F.explode(F.array(*[F.lit(k) for k in range(SALTS)]))
+    named = spelled.join(linked, form).select("_name", "org_id").withColumn("_salt", salts)
+    written = records.where(F.col(name).isNotNull()).withColumn("_salt", F.pmod(F.xxhash64(*records.columns), F.lit(SALTS)).cast("int"))
+    found = written.join(named, (F.col(name) == F.col("_name")) & (written["_salt"] == named["_salt"]), "left").select(*[written[c] for c in records.columns], "org_id")
+    return found.unionByName(records.where(F.col(name).isNull()).withColumn("org_id", F.lit(None).cast("bigint")))

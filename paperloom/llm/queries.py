@@ -38,7 +38,7 @@ def p2_links(spark: SparkSession, sf_dir: str) -> DataFrame:
 def p2_found(spark: SparkSession, sf_dir: str) -> DataFrame:
     register = table(spark, sf_dir, "organisations").select("org_id", "registered_name")
     linked = p2_links(spark, sf_dir).where("org_id is not null")
-    return linked.join(F.broadcast(register), "org_id").where("written <> registered_name").select("src", "record_id", "org_id")
+    return linked.join(register, "org_id").where("written <> registered_name").select("src", "record_id", "org_id")
 
 
 def p3_pieces(spark: SparkSession, sf_dir: str) -> DataFrame:
