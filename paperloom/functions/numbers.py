@@ -141,7 +141,8 @@ def holds_number(text: Column, candidate: Column) -> Column:
     """Containment of a written number; an unsigned one does not sit behind a minus."""
     quoted = F.regexp_replace(candidate, r"([.\-+])", r"\\$1")
     pattern = F.when(candidate.startswith("-"), quoted).otherwise(F.concat(F.lit(f"(?<![-{MINUSES}])"), quoted))
-    return (candidate != "") & F.regexp_like(text, pattern)
+    # Plain containment is cheap, and without it no pattern is made.
+    return (candidate != "") & F.contains(text, candidate) & F.regexp_like(text, pattern)
 
 
 def distinctive_number(text: Column) -> Column:

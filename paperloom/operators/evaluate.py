@@ -57,19 +57,26 @@ def header_scores(joined: DataFrame, key: str, fields: list[tuple[str, str, str,
     return spread.select(key, "_r.*", "hard_failure").withColumn("correct", F.col("correct") & ~F.col("hard_failure"))
 
 
+def _form_holds(a: Column, b: Column) -> Column:
+    """same_or_within() of two scoring forms."""
+    return (a != "") & (b != "") & ((a == b) | F.contains(a, b) | F.contains(b, a))
+
+
 def match_lines(truth: DataFrame, predicted: DataFrame, key: str) -> DataFrame:
     """For each truth line the first predicted one whose description equals, holds or is held
     by it: ``key, line_ix, match_ix`` (null: none).  Both have ``key, line_ix, description``."""
-    p = predicted.select(key, F.col("line_ix").alias("p_ix"), F.col("description").alias("p_description"))
-    pairs = truth.join(p, key).where(same_or_within(F.col("description"), F.col("p_description")))
-    best = pairs.groupBy(key, "line_ix").agg(F.min("p_ix").alias("match_ix"))
+    # Forms are made once a line, before lines meet.
+    t = truth.select(key, "line_ix", for_scoring(F.col("description")).alias("form"))
+    p = predicted.select(key, F.col("line_ix").alias("p_ix"), for_scoring(F.col("description")).alias("p_form"))
+    best = t.join(p, key).where(_form_holds(F.col("form"), F.col("p_form"))).groupBy(key, "line_ix").agg(F.min("p_ix").alias("match_ix"))
     return truth.select(key, "line_ix").join(best, [key, "line_ix"], "left")
 
 
 def lost_lines(truth: DataFrame, predicted: DataFrame, key: str) -> DataFrame:
     """Truth lines that no predicted one of the document holds."""
-    p = predicted.select(F.col(key).alias("_k"), F.col("description").alias("_d"))
-    return truth.join(p, (F.col(key) == F.col("_k")) & same_or_within(F.col("description"), F.col("_d")), "left_anti")
+    p = predicted.select(F.col(key).alias("_k"), for_scoring(F.col("description")).alias("_p"))
+    t = truth.withColumn("_t", for_scoring(F.col("description")))
+    return t.join(p, (F.col(key) == F.col("_k")) & _form_holds(F.col("_t"), F.col("_p")), "left_anti").drop("_t")
 
 
 def duplicate_lines(lines: DataFrame, key: str) -> DataFrame:
@@ -172,6 +179,14 @@ def union_files(a: DataFrame, b: DataFrame, path: str = "path") -> DataFrame:
 
 
 def resolve_files(tokens: DataFrame, files: DataFrame, token: str = "token", path: str = "path") -> DataFrame:
-    """The first file, by path, whose path holds the token (case aside): ``token, path``."""
-    met = tokens.join(files, F.contains(F.lower(F.col(path)), F.lower(F.col(token))))
+    """The first file, by path, whose path holds the token (case aside): ``token, path``.
+
+    A token meets the paths that hold its first three letters (or all of a shorter one), so no
+    token is compared with every file.  An empty or null token finds nothing.
+    """
+    low = F.lower(F.col(path))
+    grams = lambda n: F.transform(F.sequence(F.lit(1), F.greatest(F.length(low) - (n - 1), F.lit(1))), lambda i: F.substr(low, i, F.lit(n)))
+    held = files.where(F.col(path).isNotNull() & (F.col(path) != "")).select(path, F.explode(F.array_distinct(F.concat(grams(1), grams(2), grams(3)))).alias("_gram"))
+    asked = tokens.where(F.col(token) != "").select(token, F.lower(F.col(token)).alias("_token"), F.substring(F.lower(F.col(token)), 1, 3).alias("_gram"))
+    met = asked.join(held, "_gram").where(F.contains(F.lower(F.col(path)), F.col("_token")))
     return met.groupBy(token).agg(F.min(path).alias(path))

@@ -13,7 +13,7 @@ from collections.abc import Callable, Iterator
 import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
-from pyspark.sql.types import StringType, StructField, StructType
+from pyspark.sql.types import BooleanType, StringType, StructField, StructType
 from pyspark.sql.window import Window
 
 from paperloom.functions.text import trimmed
@@ -64,18 +64,39 @@ def canned(answers: list[str]) -> Generate:
     return generate
 
 
-def generated(rows: DataFrame, key: str, generate: Generate, attempt: int) -> DataFrame:
-    """``rows`` (with ``prompt``) and the model's ``raw`` text."""
-    schema = StructType([*rows.schema.fields, StructField("raw", StringType())])
+def growing(answers: list[str], size: int = 7) -> Callable[[int], Iterator[str]]:
+    """A stand-in for a model that streams: of each attempt's answer the text so far, piece by
+    piece."""
+
+    def stream(attempt: int) -> Iterator[str]:
+        answer = answers[min(attempt, len(answers) - 1)]
+        for end in range(size, len(answer) + size, size):
+            yield answer[:end]
+
+    return stream
+
+
+def generated(rows: DataFrame, key: str, generate: Generate, attempt: int, seconds: float | None = None) -> DataFrame:
+    """``rows`` (with ``prompt``) and the model's ``raw`` text.
+
+    With ``seconds`` each row is asked for by itself, and an answer that takes longer is given
+    up: its ``raw`` is null and ``late`` (boolean, there only with ``seconds``) is true.
+    """
+    late = [] if seconds is None else [StructField("late", BooleanType())]
+    schema = StructType([*rows.schema.fields, StructField("raw", StringType()), *late])
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for batch in batches:
-            yield batch.assign(raw=generate(batch[key], batch["prompt"], attempt).to_numpy())
+            if seconds is None:
+                yield batch.assign(raw=generate(batch[key], batch["prompt"], attempt).to_numpy())
+                continue
+            done = [within_seconds(lambda i=i: generate(batch[key].iloc[i:i + 1], batch["prompt"].iloc[i:i + 1], attempt).iloc[0], seconds) for i in range(len(batch))]
+            yield batch.assign(raw=pd.Series([d[0] for d in done], index=batch.index, dtype="object"), late=[d[1] is not None for d in done])
 
     return rows.mapInPandas(run, schema)
 
 
-def attempt_loop(docs: DataFrame, key: str, schema: Schema, generate: Generate, invariants: Callable[[Column], Column] | None = None, max_retries: int = MAX_RETRIES, images: Column | None = None, sees_images: bool = True, first: DataFrame | None = None) -> DataFrame:
+def attempt_loop(docs: DataFrame, key: str, schema: Schema, generate: Generate, invariants: Callable[[Column], Column] | None = None, max_retries: int = MAX_RETRIES, images: Column | None = None, sees_images: bool = True, first: DataFrame | None = None, seconds: float | None = None) -> DataFrame:
     """All attempts of all documents: ``key, attempt, raw, json, status, issues, errors``.
 
     A document whose text is blank is not asked for ('emptyDocument'), nor one with images
@@ -83,6 +104,7 @@ def attempt_loop(docs: DataFrame, key: str, schema: Schema, generate: Generate,
     ('emptyResponse'); an answer that does not decode ('failed') or breaks an invariant
     ('rejected') is asked again with the reasons, up to ``max_retries`` more times.  With
     ``first`` (``key, json``) the attempt 0 is that record, for which nothing is generated.
+    An answer that takes more than ``seconds`` ends its document ('timeout').
     """
     kind = dict(docs.dtypes)[key]
     base = docs.select(key, "text", (images if images is not None else F.lit(False)).alias("_images"))
@@ -96,11 +118,12 @@ def attempt_loop(docs: DataFrame, key: str, schema: Schema, generate: Generate,
             answered = todo.join(first.select(key, F.col("json").alias("raw")), key, "left").withColumn("json", F.col("raw"))
         else:
             asked = todo.withColumn("prompt", prompt(schema, F.col("text"), repair=F.col("repair")))
-            answered = generated(asked, key, generate, attempt).withColumn("json", found_object(F.col("raw")))
+            answered = generated(asked, key, generate, attempt, seconds).withColumn("json", found_object(F.col("raw")))
         answered = answered.withColumn("errors", F.when(F.col("json").isNull(), F.array(F.lit("the answer holds no JSON object"))).otherwise(decode_errors(F.col("json"), schema)))
         checked = invariants(F.col("json")) if invariants is not None else F.array().cast(nothing)
         answered = answered.withColumn("issues", F.when(F.size("errors") == 0, checked).otherwise(F.array().cast(nothing)))
-        status = F.when(F.coalesce(trimmed(F.col("raw")), F.lit("")) == "", "emptyResponse").when(F.size("errors") > 0, "failed").when(F.size("issues") > 0, "rejected").otherwise("accepted")
+        late = F.col("late") if "late" in answered.columns else F.lit(False)
+        status = F.when(late, "timeout").when(F.coalesce(trimmed(F.col("raw")), F.lit("")) == "", "emptyResponse").when(F.size("errors") > 0, "failed").when(F.size("issues") > 0, "rejected").otherwise("accepted")
         settled = checkpointed(answered.withColumn("status", status).withColumn("attempt", F.lit(attempt)))
         done = done.unionByName(settled.select(key, "attempt", "raw", "json", "status", "issues", "errors"))
         todo = settled.where("status in ('failed', 'rejected')").select(key, "text", F.concat_ws("\n", F.array_join("errors", "\n"), issue_text(F.col("issues"))).alias("repair"))

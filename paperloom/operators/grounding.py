@@ -2,12 +2,15 @@
 
 from __future__ import annotations
 
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
 from paperloom.functions.numbers import distinctive_number, holds_number, numeric_skeleton, search_candidates
 from paperloom.functions.text import for_search, let, token_coverage, trimmed
+from paperloom.operators.json_text import loads, number_text
+from paperloom.plans.schema import Schema
 
 
 def source_index(docs: DataFrame, text: str = "text") -> DataFrame:
@@ -72,61 +75,138 @@ def entry_is_grounded(strings: Column, raw: Column, normal: Column) -> Column:
     return (F.size(filled) == 0) | F.exists(filled, lambda s: F.contains(raw, s) | ((for_search(s) != "") & F.contains(normal, for_search(s))) | token_coverage(s, normal))
 
 
+#: Lengths of text that runs of blocks are looked at in, by the value's own length.
+REACHES = (120, 1200)
+
+
 def provenance(values: DataFrame, blocks: DataFrame, key: str = "doc_id", cells: DataFrame | None = None) -> DataFrame:
     """Where a value stands: ``key, path, step, page, x, y, w, h``.
 
+    ``values`` has ``key, path, text`` and, where some are numbers, ``number`` (null for the
+    others): a number is sought in each form in which it can be written, then by its digits
+    alone ("$12.50" for 12.5).
+
     The ladder: a table cell that equals it, a cell that contains it, the smallest block
     that contains it, the shortest run of blocks of one page, the shortest run across pages
     (its first page is reported).  Values that are found nowhere have no row.  A run is
     looked for in at most max(4 n, n + 80) characters for a value of n.
     """
-    v = values.select(key, "path", F.col("text").alias("value")).where("value <> ''").withColumn("_norm", for_search(F.col("value")))
+    number = F.col("number").cast("decimal(38,18)") if "number" in values.columns else F.lit(None).cast("decimal(38,18)")
+    forms = F.when(number.isNull(), F.array(F.col("text"))).otherwise(search_candidates(number))
+    v = values.select(key, "path", number.isNotNull().alias("numeric"), F.posexplode(forms).alias("form", "value")).where("value <> ''")
+    v = v.withColumn("norm", for_search(F.col("value"))).withColumn("digits", F.when(F.col("numeric"), numeric_skeleton(F.col("value"))))
     placed = blocks.where("page is not null and x is not null").select(key, "ord", "page", "x", "y", "w", "h", F.col("text").alias("block"))
-    hits = lambda text: F.contains(text, F.col("value")) | ((F.col("_norm") != "") & F.contains(for_search(text), F.col("_norm")))
-    box = lambda *c: F.struct(*[F.col(x) for x in ("page", "x", "y", "w", "h")])
-    steps = []
+    box = F.struct("page", "x", "y", "w", "h")
+    found = []
     if cells is not None:
-        c = cells.select(key, F.col("text").alias("cell"), "page", "x", "y", "w", "h", F.struct("page", "table_ix", "row", "col").alias("_at"))
-        joined = v.join(c, key)
-        steps.append(joined.where(F.col("cell") == F.col("value")).groupBy(key, "path").agg(F.min_by(box(), F.col("_at")).alias("b")).withColumn("step", F.lit(0)))
-        steps.append(joined.where(hits(F.col("cell"))).groupBy(key, "path").agg(F.min_by(box(), F.col("_at")).alias("b")).withColumn("step", F.lit(1)))
-    single = v.join(placed, key).where(hits(F.col("block")))
-    steps.append(single.groupBy(key, "path").agg(F.min_by(box(), F.struct(F.col("w") * F.col("h"), "page", "ord")).alias("b")).withColumn("step", F.lit(2)))
-    steps.append(_runs(v, placed, key, True).withColumn("step", F.lit(3)))
-    steps.append(_runs(v, placed, key, False).withColumn("step", F.lit(4)))
-    found = steps[0]
-    for step in steps[1:]:
-        found = found.unionByName(step)
-    return found.groupBy(key, "path").agg(F.min_by(F.struct("step", "b"), "step").alias("_s")).select(key, "path", F.col("_s.step").alias("step"), "_s.b.*")
-
-
-def _runs(v: DataFrame, placed: DataFrame, key: str, one_page: bool) -> DataFrame:
-    """The shortest run of consecutive blocks whose joined text holds a value."""
-    scope = [key, "page"] if one_page else [key]
-    lists = placed.groupBy(*scope).agg(F.sort_array(F.collect_list(F.struct("page", "ord", "x", "y", "w", "h", "block"))).alias("_l"))
-    joined = v.join(lists, key)
+        c = _searchable(cells.select(key, F.col("text").alias("cell"), box.alias("b"), F.array(*[F.col(k).cast("double") for k in ("page", "table_ix", "row", "col")]).alias("tie")), "cell")
+        met = v.join(c, key).withColumn("rank", _match(F.col("cell"), F.col("cell_norm"), F.col("cell_digits"))).where("rank is not null")
+        found.append(met.select(key, "path", F.struct("rank", F.when(F.col("cell") == F.col("value"), 0).otherwise(1).alias("step"), "tie", "b").alias("hit")))
+    single = v.join(_searchable(placed, "block"), key).withColumn("rank", _match(F.col("block"), F.col("block_norm"), F.col("block_digits"))).where("rank is not null")
+    found.append(single.select(key, "path", F.struct("rank", F.lit(2).alias("step"), F.array(F.col("w") * F.col("h"), F.col("page").cast("double"), F.col("ord").cast("double")).alias("tie"), box.alias("b")).alias("hit")))
     n = F.length("value")
-    cap = F.greatest(4 * n, n + 80)
-
-    def best_at(i: Column) -> Column:
-        """The shortest run from block i (1-based), as (length, i, end)."""
-        start = F.struct(F.lit("").alias("t"), F.lit(0).alias("end"), F.lit(False).alias("hit"), (i - 1).alias("at"))
-        step = lambda a, b: F.when(a["hit"] | (F.length(a["t"]) > cap), F.struct(a["t"].alias("t"), a["end"].alias("end"), a["hit"].alias("hit"), a["at"].alias("at"))).otherwise(
-            let(F.concat(a["t"], F.when(a["t"] == "", "").otherwise(" "), b["block"]), lambda t: F.struct(t.alias("t"), (a["at"] + 1).alias("end"), (F.contains(t, F.col("value")) | ((F.col("_norm") != "") & F.contains(for_search(t), F.col("_norm")))).alias("hit"), (a["at"] + 1).alias("at")))
-        )
-        walked = F.aggregate(F.slice("_l", i, F.size("_l")), start, step)
-        return let(walked, lambda w: F.when(w["hit"], F.struct((w["end"] - i).alias("span"), i.alias("first"), w["end"].alias("last"))))
-
-    found = joined.withColumn("_best", F.array_min(F.filter(F.transform(F.sequence(F.lit(1), F.size("_l")), best_at), lambda b: b.isNotNull()))).where("_best.span >= 1")
-    part = F.slice("_l", F.col("_best.first"), F.col("_best.span") + 1)
-    low = F.array_min(F.transform(part, lambda b: b["page"]))
-    own = F.filter(part, lambda b: b["page"] == low)
-    union = F.struct(
-        low.alias("page"), F.array_min(F.transform(own, lambda b: b["x"])).alias("x"), F.array_min(F.transform(own, lambda b: b["y"])).alias("y"),
-        (F.array_max(F.transform(own, lambda b: b["x"] + b["w"])) - F.array_min(F.transform(own, lambda b: b["x"]))).alias("w"),
-        (F.array_max(F.transform(own, lambda b: b["y"] + b["h"])) - F.array_min(F.transform(own, lambda b: b["y"]))).alias("h"),
-    )
-    return found.groupBy(key, "path").agg(F.min_by(union, F.struct(F.col("_best.span"), low, F.col("_best.first"))).alias("b"))
+    v = v.withColumn("cap", F.greatest(4 * n, n + 80)).withColumn("reach", F.coalesce(*[F.when(F.col("cap") <= r, r) for r in REACHES], F.lit(0)))
+    found += [_runs(v.where(F.col("reach") == reach), placed, key, reach) for reach in (*REACHES, 0)]
+    every = found[0]
+    for part in found[1:]:
+        every = every.unionByName(part)
+    return every.groupBy(key, "path").agg(F.min("hit").alias("hit")).select(key, "path", F.col("hit.step").alias("step"), "hit.b.*")
+
+
+def _searchable(df: DataFrame, text: str) -> DataFrame:
+    """The text's search form and digits, made once for all values."""
+    return df.withColumn(f"{text}_norm", for_search(F.col(text))).withColumn(f"{text}_digits", numeric_skeleton(F.col(text)))
+
+
+def _match(text: Column, norm: Column, digits: Column) -> Column:
+    """How well a text holds a value (less is better), or null."""
+    value = F.col("value")
+    words = F.when(F.contains(text, value) | ((F.col("norm") != "") & F.contains(norm, F.col("norm"))), 0)
+    # A written form goes before digits alone, an earlier form before a later one.
+    figures = F.when(holds_number(text, value), F.col("form")).when(holds_number(digits, F.col("digits")), 100 + F.col("form"))
+    return F.when(F.col("numeric"), figures).otherwise(words)
+
+
+def _runs(v: DataFrame, placed: DataFrame, key: str, reach: int) -> DataFrame:
+    """Runs of two and more blocks that hold a value, within one page (step 3) or across.
+
+    The blocks behind each one, as far as the reach goes, are joined once; the values are
+    sought in these texts, and only where one is found the run is cut to its shortest.
+    """
+    wanted = placed.join(v.select(key).distinct(), key, "left_semi")
+    order = Window.partitionBy(key).orderBy("page", "ord", "y", "x", "block")
+    laid = wanted.withColumn("at", F.coalesce(F.sum(F.length("block") + 1).over(order.rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)))
+    ahead = Window.partitionBy(key).orderBy("at")
+    ahead = ahead.rangeBetween(0, reach + 1) if reach else ahead.rangeBetween(0, Window.unboundedFollowing)
+    starts = laid.withColumn("run", F.collect_list(F.struct("page", "ord", "x", "y", "w", "h", "block", "at")).over(ahead)).where(F.size("run") > 1)
+    starts = _searchable(starts.select(key, F.col("page").alias("low"), F.col("at").alias("begin"), "run", F.array_join(F.transform("run", lambda b: b["block"]), " ").alias("whole")), "whole")
+    met = v.join(starts, key).where(_match(F.col("whole"), F.col("whole_norm"), F.col("whole_digits")).isNotNull())
+    near = F.filter(F.sequence(F.lit(2), F.size("run")), lambda j: F.element_at("run", j)["at"] - F.col("begin") <= F.col("cap") + 1)
+    texts = F.transform(near, lambda j: F.struct(j.alias("j"), F.array_join(F.transform(F.slice("run", 1, j), lambda b: b["block"]), " ").alias("t")))
+    tried = F.transform(texts, lambda x: F.struct(_match(x["t"], for_search(x["t"]), numeric_skeleton(x["t"])).alias("rank"), F.when(F.element_at("run", x["j"])["page"] == F.col("low"), 3).otherwise(4).alias("step"), x["j"].alias("j")))
+    best = F.array_min(F.filter(tried, lambda t: t["rank"].isNotNull()))
+    cut = met.withColumn("best", best).where("best is not null")
+    part = F.filter(F.slice("run", 1, F.col("best.j")), lambda b: b["page"] == F.col("low"))
+    edge = lambda pick, of: pick(F.transform(part, of))
+    left, top = edge(F.array_min, lambda b: b["x"]), edge(F.array_min, lambda b: b["y"])
+    union = F.struct(F.col("low").alias("page"), left.alias("x"), top.alias("y"), (edge(F.array_max, lambda b: b["x"] + b["w"]) - left).alias("w"), (edge(F.array_max, lambda b: b["y"] + b["h"]) - top).alias("h"))
+    tie = F.array(F.col("best.j").cast("double"), F.col("low").cast("double"), F.col("begin").cast("double"))
+    return cut.select(key, "path", F.struct(F.col("best.rank").alias("rank"), F.col("best.step").alias("step"), tie.alias("tie"), union.alias("b")).alias("hit"))
+
+
+def json_leaves(records: DataFrame, key: str, json: str, schema: Schema) -> DataFrame:
+    """The scalars of any nested JSON record with their paths (``a.b[0].c``): ``key, ix, path,
+    kind, text, number``.
+
+    The walk follows the schema in property order.  A missing or null property has a row of
+    kind 'null', an element that is null only where scalars are listed; values of another
+    shape than their schema's have none below them.  Numbers come exact, in ``text`` too.
+    Null and broken JSON has no rows.
+    """
+    kinds = {"number": "number", "integer": "number", "boolean": "boolean", "null": "null"}
+
+    def walk(value, node: Schema, path: str, out: list) -> None:
+        if node.kind == "object":
+            if isinstance(value, dict):
+                for name, below in node.properties.items():
+                    child = f"{path}.{name}" if path else name
+                    if value.get(name) is None:
+                        out.append((child, "null", None, None))
+                    else:
+                        walk(value[name], below, child, out)
+        elif node.kind == "array":
+            for i, element in enumerate(value if isinstance(value, list) else ()):
+                walk(element, node.items or Schema.string(), f"{path}[{i}]", out)
+        elif value is None or isinstance(value, (dict, list)):
+            out.append((path, "null", None, None))
+        elif isinstance(value, bool):
+            out.append((path, "boolean", "true" if value else "false", None))
+        elif isinstance(value, str):
+            kind = "date" if node.format in ("date", "date-time") else kinds.get(node.kind, "string")
+            out.append((path, kind, value, None))
+        else:
+            text = number_text(value)
+            out.append((path, "number" if node.kind in ("number", "integer") else "null", text, text))
+
+    def run(batches):
+        for batch in batches:
+            ids, rows = [], []
+            for ident, text in zip(batch.column(0), batch.column(1).to_pylist()):
+                try:
+                    found: list = []
+                    if text is not None:
+                        walk(loads(text), schema, "", found)
+                except (ValueError, RecursionError):
+                    continue
+                ids += [ident.as_py()] * len(found)
+                rows += [(i, *r) for i, r in enumerate(found)]
+            columns = list(zip(*rows)) if rows else [()] * 5
+            types = (pa.int32(), *[pa.string()] * 4)
+            yield pa.RecordBatch.from_arrays([pa.array(ids, batch.schema.field(0).type), *[pa.array(c, t) for c, t in zip(columns, types)]], names=[key, "ix", "path", "kind", "text", "number"])
+
+    kind = dict(records.dtypes)[key]
+    made = records.select(key, json).mapInArrow(run, f"`{key}` {kind}, ix int, path string, kind string, text string, number string")
+    return made.withColumn("number", F.col("number").try_cast("decimal(38,18)"))
 
 
 def agreement_at(boxes: DataFrame, blocks: DataFrame, key: str = "doc_id") -> DataFrame:

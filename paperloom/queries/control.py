@@ -153,6 +153,24 @@ SQL = {
     "dynamic_coerce": """select o_orderkey, o_orderkey::varchar as key, strftime(o_orderdate, '%Y-%m-%d') as day, case when o_orderkey % 2 = 0 then 'true' else 'false' end as open, lower(o_orderstatus) as status, (o_orderkey % 3)::varchar as note, null::varchar as dropped, o_totalprice::decimal(18,2) as total from orders""",
     "prompts": f"with {SQL_DOCUMENTS} select doc_id, doc_id % 3 = 0 as tables, doc_id % 5 = 0 as repair, doc_id % 2 = 0 as locale, true as closed from docs",
     "stream_final_parity": f"with {SQL_DOCUMENTS} select doc_id, p_number as number, seller from docs where p_number is not null",
+    "partial_stream_batch": f"""with {SQL_DOCUMENTS}, t as (select doc_id, length('{{"number":"' || p_number || '"') as a, length('{{"number":"' || p_number || '","total":' || p_total || ',') as b, length('{{"number":"' || p_number || '","total":' || p_total || ',"seller":{{"name":"' || seller || '"}}}}') as n from docs where p_number is not null),
+        e as (select *, least(unnest(range(7, n + 7, 7)), n) as l from t)
+        select doc_id, count(distinct 1 + (l >= a)::int + (l >= b)::int + (l >= n - 1)::int) as partials, 1 as finals from e group by 1""",
+    "file_kinds": """with i as (select inspection_id, coalesce(any_value(source_description), 'none') as path, coalesce(any_value(full_text), '') as t from inspections where inspection_id is not null group by 1),
+        e as (select *, lower(regexp_extract(path, '\\.([A-Za-z0-9]+)$', 1)) as ext, regexp_replace(t, '^[\\s\\p{Z}]+|[\\s\\p{Z}]+$', '', 'g') as clean from i),
+        k as (select *, case when inspection_id % 2 = 0 then 'pdf' when t like '%PDF%' and starts_with(t, '%PDF') then 'pdf' when ext = 'pdf' then 'pdf' when ext in ('png', 'jpg', 'jpeg', 'heic', 'heif', 'tif', 'tiff', 'gif', 'bmp', 'webp') then 'image' when ext in ('txt', 'md', 'csv', 'json', 'html', 'xml') then 'text' when clean <> '' and not regexp_matches(t, '[\\x00-\\x08]') then 'text' else 'unreadableSource' end as kind from e)
+        select kind, case when kind = 'unreadableSource' then kind when kind = 'text' and clean = '' then 'emptyDocument' else 'ok' end as status, count(*) as n from k group by all""",
+    "schema_leaves": "select * from (values "
+    + ", ".join(
+        f"('{record}', {i}, '{path}', '{kind}', {collection})"
+        for record, collection, leaves in (
+            ("Invoice", True, "vendor string, dueDate date-time, total number, lineItems[].description string, lineItems[].amount number, lineItems[].quantity integer"),
+            ("EvalInvoice", True, "invoiceNumber string, currency string, sellerName string, issueDate date-time, grandTotal number, taxTotal number, lineItems[].description string, lineItems[].quantity number, lineItems[].lineTotal number"),
+            ("Order", False, "number string, total number"),
+        )
+        for i, (path, kind) in enumerate(leaf.split() for leaf in leaves.split(", "))
+    )
+    + ") as t(record, ix, path, kind, collection)",
     "invoice_xml": f"with {SQL_DOCUMENTS} select doc_id, number as invoice_number, 'EUR' as currency, seller, issued, total as grand_total, 0::decimal(18,2) as tax_total, 1 as lines, total as line_total from docs",
     "inspect_documents": """with i as (select inspection_id as doc_id, any_value(full_text) as t from inspections where inspection_id is not null group by 1), b as (select block_id, any_value(inspection_id) as doc_id, any_value(page_index) as page, any_value(text) as text, any_value(x) as x from blocks where block_id is not null group by 1),
         c as (select doc_id, count(*) filter (trim(text) <> '') as blocks, count(*) filter (trim(text) <> '' and page is not null and x is not null) as positioned, count(distinct page) filter (trim(text) <> '') as pages, count(distinct page) as tables from b group by 1)

@@ -188,6 +188,21 @@ SQL = {
         t as (select *, list_filter(string_split({_NORM.format('v')}, ' '), lambda x: length(x) >= 3) as tokens from p),
         c as (select *, len(tokens) > 0 and len(list_filter(tokens, lambda x: contains(norm, x))) * 2 >= len(tokens) as covered from t)
         select p_partkey, covered, contains(p_name, v) or contains(norm, {_NORM.format('v')}) or covered as kept from c""",
+    "provenance_blocks": f"""
+        with b as (select block_id, any_value(inspection_id) as doc, any_value(ord) as ord, any_value(page_index) as page, any_value(text) as text, any_value(x) as x, any_value(y) as y, any_value(w) as w, any_value(h) as h, any_value(matching) as matching, any_value(observing) as observing from blocks where block_id is not null group by 1),
+        p as (select *, {_NORM.format('text')} as norm, row_number() over o as i, coalesce(sum(length(text) + 1) over (o rows between unbounded preceding and 1 preceding), 0) as pos from b where page is not null and x is not null window o as (partition by doc order by page, ord, y, x, text)),
+        k as (select identity_id, any_value(inspection_id) as doc, any_value(document_number) as number, any_value(full_name) as name from identity_documents where identity_id is not null group by 1),
+        v as (select *, {_NORM.format('value')} as vnorm, greatest(4 * length(value), length(value) + 80) as cap from (select doc, 'documentNumber' as path, number as value from k union select doc, 'fullName', name from k) where doc is not null and value <> ''),
+        one as (select doc, path, 2 as step, [w * h, page, ord]::double[] as tie, page, x, y, w, h from v join p using (doc) where contains(text, value) or vnorm <> '' and contains(norm, vnorm)),
+        texts as (select doc, list(text order by i) as l from p group by 1),
+        spans as (select v.doc, v.path, a.i, z.i as j, a.pos, a.page, z.page as last from v join p a on a.doc = v.doc join p z on z.doc = v.doc and z.i > a.i and z.pos - a.pos <= v.cap + 1 join texts t on t.doc = v.doc
+            where contains(array_to_string(l[a.i:z.i], ' '), value) or vnorm <> '' and contains({_NORM.format("array_to_string(l[a.i:z.i], ' ')")}, vnorm)),
+        runs as (select doc, path, unnest(case when page = last then [3, 4] else [4] end) as step, i, j, page, pos from spans),
+        offs as (select r.*, r.pos - case when step = 3 then (select min(f.pos) from p f where f.doc = r.doc and f.page = r.page) else 0 end as own_at from runs r),
+        boxed as (select r.doc, r.path, r.step, [r.j - r.i + 1, r.page, r.own_at]::double[] as tie, r.page, min(q.x) as x, min(q.y) as y, max(q.x + q.w) - min(q.x) as w, max(q.y + q.h) - min(q.y) as h from offs r join p q on q.doc = r.doc and q.page = r.page and q.i between r.i and r.j group by r.doc, r.path, r.step, r.i, r.j, r.page, r.own_at),
+        best as (select doc, path, arg_min({{'step': step, 'page': page, 'x': x, 'y': y, 'w': w, 'h': h}}, {{'step': step, 'tie': tie}}) as f from (from one union all from boxed) group by 1, 2),
+        g as (select doc, path, arg_min({{'m': matching, 'o': observing}}, {{'s': matching / greatest(observing, 1), 'm': matching}}) as a from best join b using (doc) where b.page = f.page and f.x < b.x + b.w and b.x < f.x + f.w and f.y < b.y + b.h and b.y < f.y + f.h group by 1, 2)
+        select doc as inspection_id, path, f.step as step, f.page as page, f.x as x, f.y as y, f.w as w, f.h as h, a.m as matching, a.o as observing from best left join g using (doc, path)""",
     "merge_scalars": f"""with {SQL_DOCUMENTS}, p as (select doc_id, line_ix % 3 as chunk, sum(amount)::decimal(18,2) as total, min(description) as seller from lines group by all),
         r as (select p.*, case when contains(text, p.total::varchar) then 2 else 0 end as tr, case when contains(text, p.seller) then 2 else 0 end as sr from p join docs using (doc_id)),
         b as (select doc_id, max(tr) as mt, max(sr) as ms from r group by 1)

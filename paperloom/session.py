@@ -27,17 +27,23 @@ def local_session(cpus: int | str = "*", **conf: str) -> SparkSession:
     return spark
 
 
-def checkpointed(df: DataFrame) -> DataFrame:
-    """Cut the lineage with a reliable checkpoint.
+def shared_folder(spark: SparkSession) -> str:
+    """The folder for checkpoints and for tables that cut a lineage.
 
-    The folder is the cluster's ``spark.checkpoint.dir``; only where that is unset and the
-    session is local (tests, a laptop) a folder of our own is made.  On a cluster a folder of
-    one machine would be lost with it, so there an unset folder is an error.
+    It is the cluster's ``spark.checkpoint.dir``; only where that is unset and the session is
+    local (tests, a laptop) a folder of our own is made.  On a cluster a folder of one machine
+    would be lost with it, so there an unset folder is an error.
     """
-    context = df.sparkSession.sparkContext
+    context = spark.sparkContext
     if context.getCheckpointDir() is None:
-        shared = df.sparkSession.conf.get("spark.checkpoint.dir", None)
+        shared = spark.conf.get("spark.checkpoint.dir", None)
         if not shared and not context.master.startswith("local"):
             raise RuntimeError("set spark.checkpoint.dir to a folder that all executors share")
         context.setCheckpointDir(shared or tempfile.mkdtemp(prefix="paperloom-ck-"))
+    return context.getCheckpointDir()
+
+
+def checkpointed(df: DataFrame) -> DataFrame:
+    """Cut the lineage with a reliable checkpoint in the shared folder."""
+    shared_folder(df.sparkSession)
     return df.checkpoint(eager=True)

@@ -66,6 +66,16 @@ def record_updates(pieces: DataFrame) -> DataFrame:
     return pieces.groupBy("doc_id").applyInPandasWithState(_advance, UPDATES, _STATE, "append", GroupStateTimeout.ProcessingTimeTimeout)
 
 
+def until_cancelled(pieces: DataFrame, cancels: DataFrame) -> DataFrame:
+    """The pieces that came before their document's stream was cancelled.
+
+    ``cancels`` has ``doc_id, seq``: from that piece on nothing is read, so no final record
+    comes out of what is left.  Of several the first holds; a null piece number cancels all.
+    """
+    stop = cancels.groupBy("doc_id").agg(F.min(F.coalesce("seq", F.lit(0))).alias("_stop"))
+    return pieces.join(stop, "doc_id", "left").where("_stop is null or seq < _stop").drop("_stop")
+
+
 def updates_of_batch(pieces: DataFrame) -> DataFrame:
     """The same rows from a finished table of pieces, by windows: the text up to each piece,
     its snapshot, and only the changes; the final record at the end piece."""

@@ -5,10 +5,11 @@ import json
 import pytest
 from pyspark.sql import functions as F
 
+from paperloom.operators.evaluate import resolve_files
 from paperloom.operators import chunk, evaluate, extract, grounding, json_text, layout, merge, ocr
 from paperloom.plans.schema import INVOICE, RECEIPT, Schema, from_rendered
 from paperloom.sources import files
-from paperloom.streaming.pieces import record_updates, updates_of_batch
+from paperloom.streaming.pieces import record_updates, until_cancelled, updates_of_batch
 
 
 @pytest.mark.parametrize(
@@ -242,3 +243,39 @@ def test_chunked_extraction(spark):
 
     rows = extract.chunked_extraction(docs, "doc_id", schema, by_chunk, F.lit(10)).orderBy("doc_id").collect()
     assert [(r.doc_id, r.attempt, r.status, r.chunks_used) for r in rows] == [(1, 0, "accepted", 3), (2, 0, "emptyDocument", 0)] or rows[0].status == "accepted"
+
+
+def test_numeric_places(spark):
+    """A number is found in the form in which it is printed, at its tightest place."""
+    texts = ["Invoice 12", "Net $12.50", "Fee −12.50", "Total 1,234.50 USD", "Sum 7", "0.25 each"]
+    blocks = spark.createDataFrame([(1, i, i // 4, t, 0.1, 0.1 * i, 0.3, 0.02) for i, t in enumerate(texts)] + [(2, 0, None, "12.5", None, None, None, None)], "doc_id bigint, ord int, page int, text string, x double, y double, w double, h double")
+    rows = [(1, "net", "12.5", 12.5), (1, "total", "1234.5", 1234.5), (1, "run", "70.25", None), (1, "gone", "99.75", 99.75), (1, "negative", "-12.5", -12.5), (2, "net", "12.5", 12.5), (1, "null", None, None), (1, "both", "Sum 7 0.25", None)]
+    values = spark.createDataFrame(rows, "doc_id bigint, path string, text string, number double").withColumn("number", F.col("number").cast("decimal(18,2)"))
+    got = {(r.doc_id, r.path): (r.step, r.page, round(r.y, 2)) for r in grounding.provenance(values, blocks).collect()}
+    assert got == {(1, "net"): (2, 0, 0.1), (1, "total"): (2, 0, 0.3), (1, "negative"): (2, 0, 0.2), (1, "both"): (3, 1, 0.4)}
+    assert grounding.provenance(values.limit(0), blocks).count() == 0 and grounding.provenance(values, blocks.limit(0)).count() == 0
+
+
+def test_json_leaves(spark):
+    schema = Schema.record("R", a=Schema.string(), b=Schema.array(Schema.record("", c=Schema.number(), d=Schema.moment())), e=Schema.array(Schema.integer()), f=Schema.boolean())
+    rows = [(1, '{"b": [{"c": 1.50, "d": "2020-01-02"}, null, {"c": null}], "e": [7, null], "f": true, "x": 9, "a": "t"}'), (2, "{}"), (3, None), (4, "{bad"), (5, '[1]'), (6, '{"b": 5, "a": {"z": 1}}')]
+    got = grounding.json_leaves(spark.createDataFrame(rows, "k bigint, j string"), "k", "j", schema).orderBy("k", "ix").collect()
+    assert [(r.path, r.kind, r.text) for r in got if r.k == 1] == [("a", "string", "t"), ("b[0].c", "number", "1.5"), ("b[0].d", "date", "2020-01-02"), ("b[2].c", "null", None), ("b[2].d", "null", None), ("e[0]", "number", "7"), ("e[1]", "null", None), ("f", "boolean", "true")]
+    assert [r.path for r in got if r.k == 2] == ["a", "b", "e", "f"] and {r.k for r in got} == {1, 2, 6}
+    assert [(r.path, r.kind) for r in got if r.k == 6] == [("a", "null"), ("e", "null"), ("f", "null")]
+
+
+def test_cancelled_and_late(spark):
+    pieces = spark.createDataFrame([(d, s, p, s == 2) for d in (1, 2, 3) for s, p in enumerate(['{"a":1', ',"b":', "2}"])], "doc_id bigint, seq int, piece string, is_end boolean")
+    cancels = spark.createDataFrame([(1, 2), (1, 1), (3, None)], "doc_id bigint, seq int")
+    left = until_cancelled(pieces, cancels)
+    assert sorted((r.doc_id, r.seq) for r in left.collect()) == [(1, 0), (2, 0), (2, 1), (2, 2)]
+    assert [(r.doc_id, r.kind) for r in updates_of_batch(left).where("kind = 'final'").collect()] == [(2, "final")]
+    assert list(extract.growing(["abcdefghij"])(3)) == ["abcdefg", "abcdefghij"]
+    assert extract.within_seconds(lambda: "x", 5) == ("x", None)
+
+
+def test_resolve_files(spark):
+    tokens = spark.createDataFrame([("B.PDF",), ("a",), ("zz",), ("",), (None,), ("x/",)], "token string")
+    files = spark.createDataFrame([("/x/b.pdf", 1), ("/x/ab.pdf", 2), (None, 3), ("", 4), ("/x/ab.pdf", 5)], "path string, size int")
+    assert sorted(map(tuple, resolve_files(tokens, files).collect())) == [("B.PDF", "/x/ab.pdf"), ("a", "/x/ab.pdf"), ("x/", "/x/ab.pdf")]
