@@ -58,7 +58,7 @@ def hard_split(text: str, budget: int) -> list[str]:
         window = min(SPLIT_WINDOW, budget)
         back, ahead = text[max(start, hard - window):hard], text[hard:hard + window]
         cut = hard
-        for fits in (lambda c: c in "\n\r\x0b\x0c\x85  ", str.isspace):
+        for fits in (lambda c: c in "\n\r\x0b\x0c\x85\u2028\u2029", str.isspace):
             before = next((i for i in range(len(back) - 1, -1, -1) if fits(back[i])), None)
             if before is not None:
                 cut = hard - len(back) + before + 1

@@ -203,6 +203,32 @@ SQL = {
         best as (select doc, path, arg_min({{'step': step, 'page': page, 'x': x, 'y': y, 'w': w, 'h': h}}, {{'step': step, 'tie': tie}}) as f from (from one union all from boxed) group by 1, 2),
         g as (select doc, path, arg_min({{'m': matching, 'o': observing}}, {{'s': matching / greatest(observing, 1), 'm': matching}}) as a from best join b using (doc) where b.page = f.page and f.x < b.x + b.w and b.x < f.x + f.w and f.y < b.y + b.h and b.y < f.y + f.h group by 1, 2)
         select doc as inspection_id, path, f.step as step, f.page as page, f.x as x, f.y as y, f.w as w, f.h as h, a.m as matching, a.o as observing from best left join g using (doc, path)""",
+    "chunk_stats": r"""
+        with recursive d as (select inspection_id as doc, list_filter(string_split(any_value(full_text), chr(10) || chr(10)), lambda x: x <> '') as pages from inspections where inspection_id is not null and full_text is not null group by 1),
+        z as (select *, list_sum(list_transform(pages, lambda x: length(x))) as total from d where len(pages) > 0),
+        step as (
+            select doc, pages, 1 as i, 0 as start, 0 as size, 0 as n, []::bigint[] as made from z where total > 2000
+            union all
+            select doc, pages,
+                case when i > len(pages) then i + 1 when l <= 2000 or start + 2000 >= l or cut >= l then i + 1 else i end,
+                case when i > len(pages) or l <= 2000 or start + 2000 >= l or cut >= l then 0 else cut end,
+                case when i > len(pages) or l > 2000 then 0 when size + l > 2000 then l else size + l end,
+                case when i > len(pages) or l > 2000 then 0 when size + l > 2000 then 1 else n + 1 end,
+                case when i > len(pages) then case when n > 0 then [size + n - 1] else [] end
+                    when l > 2000 then list_concat(case when n > 0 then [size + n - 1] else [] end, [case when start + 2000 >= l then l - start else cut - start end])
+                    when size + l > 2000 and n > 0 then [size + n - 1] else [] end
+            from (
+                select *, coalesce(length(pages[i]), 0) as l, start + 2000 as hard,
+                    case when lb > 0 then start + 2000 - length(back) + lb when la > 0 then start + 2000 + la when sb > 0 then start + 2000 - length(back) + sb when sa > 0 then start + 2000 + sa else start + 2000 end as cut
+                from (
+                    select *, length(regexp_replace(back, '[^\n\r\x0b\x0c\x{85}\x{2028}\x{2029}]*$', '')) as lb, length(regexp_extract(ahead, '^[^\n\r\x0b\x0c\x{85}\x{2028}\x{2029}]*[\n\r\x0b\x0c\x{85}\x{2028}\x{2029}]')) as la,
+                        length(regexp_replace(back, '[^\s\x0b\x1c-\x1f\x{85}\p{Z}]*$', '')) as sb, length(regexp_extract(ahead, '^[^\s\x0b\x1c-\x1f\x{85}\p{Z}]*[\s\x0b\x1c-\x1f\x{85}\p{Z}]')) as sa
+                    from (select *, substr(pages[i], start + 2001 - WINDOW, WINDOW) as back, substr(pages[i], start + 2001, WINDOW) as ahead from step where i <= len(pages) + 1)
+                )
+            )
+        ),
+        chunks as (select doc, unnest(made) as n from step union all select doc, total + len(pages) - 1 from z where total <= 2000)
+        select doc as inspection_id, count(*) as chunks, max(n)::int as longest, sum(n)::bigint as characters from chunks group by 1""".replace("WINDOW", str(chunk.SPLIT_WINDOW)).replace("\\\\", "\\"),
     "merge_scalars": f"""with {SQL_DOCUMENTS}, p as (select doc_id, line_ix % 3 as chunk, sum(amount)::decimal(18,2) as total, min(description) as seller from lines group by all),
         r as (select p.*, case when contains(text, p.total::varchar) then 2 else 0 end as tr, case when contains(text, p.seller) then 2 else 0 end as sr from p join docs using (doc_id)),
         b as (select doc_id, max(tr) as mt, max(sr) as ms from r group by 1)

@@ -140,7 +140,27 @@ QUERIES = {f.__name__: f for f in (normalize_names, parse_decimals, parse_dates,
 
 _DIGIT = "list_reduce(list_prepend(0, list_transform(range(1, length({f}) + 1), lambda i: (case when substr({f}, i, 1) = '<' then 0 when substr({f}, i, 1) between '0' and '9' then substr({f}, i, 1)::int else ascii(substr({f}, i, 1)) - 55 end) * [7, 3, 1][((i - 1) % 3) + 1])), lambda a, b: a + b) % 10"
 
+_CJK = quality._CJK
+_BARE = "regexp_replace(p, '^[\\p{P}\\p{S}]+|[\\p{P}\\p{S}]+$', '', 'g')"
+_FLAT = f"lower(strip_accents({_BARE}))"
+_SINGLE = " or ".join(f"regexp_matches({_BARE}, '^[{block}\\p{{M}}\\p{{Nd}}''’.\\-]+$')" for block in quality.SCRIPTS.values())
+#: Is a token p well formed: a number, two digits, or letters that could be a word?
+_WELL = (
+    f"(regexp_matches({_BARE}, '^[+-]?\\d+([.,]\\d+)*%?$') or len(regexp_extract_all({_BARE}, '\\p{{Nd}}')) >= 2 or len(regexp_extract_all({_BARE}, '[\\p{{L}}\\p{{M}}]')) >= greatest(2, length({_BARE}) - 1) and ("
+    f"regexp_matches({_FLAT}, '[a-z]') and (regexp_matches({_FLAT}, '[aeiouyøœæ]') or length({_BARE}) <= 3 and regexp_matches({_BARE}, '^\\p{{Lu}}+$')) or {_SINGLE} or regexp_matches({_BARE}, '^[CJK]+$')))"
+)
+
 SQL = {
+    "text_quality_gate": r"""
+        with c as (select doc_id, regexp_replace(regexp_replace(coalesce(text, ''), '\p{Cf}', '', 'g'), '^B+|B+$', '', 'g') as clean from documents),
+        t as (select *, regexp_replace(clean, 'B+', '', 'g') as solid, list_filter(regexp_split_to_array(clean, 'B+'), lambda x: x <> '') as tokens from c),
+        w as (select *, list_transform(tokens, lambda x: case when regexp_matches(x, '[CJK]') then list_filter(string_split(regexp_replace(x, '([CJK]+)', ' \1 ', 'g'), ' '), lambda p: regexp_matches(p, '[\p{L}\p{N}]')) else [x] end) as parts from t),
+        g as (select *, list_transform(tokens, lambda x: regexp_matches(x, '[CJK]')) as han, list_transform(parts, lambda ps: list_transform(ps, lambda p: WELL)) as good from w),
+        m as (select *, list_transform(range(1, len(tokens) + 1), lambda i: case when not han[i] then case when good[i][1] then 1.0 else 0.0 end when len(parts[i]) = 0 then 0.0 else
+            len(list_filter(range(1, len(parts[i]) + 1), lambda k: regexp_matches(parts[i][k], '^[CJK]+$') or good[i][k] or length(parts[i][k]) = 1))::double / len(parts[i]) end) as shares from g),
+        s as (select *, 0.5::double * len(regexp_extract_all(solid, '[\p{L}\p{M}\p{N}]')) / nullif(length(solid), 0) + 0.5::double * list_sum(shares)::double / nullif(len(tokens), 0) as raw from m),
+        r as (select doc_id, case when solid = '' then 0.0::double else least(greatest(case when regexp_matches(clean, '[\x{FFFD}\x00-\x08\x0E-\x1F\x7F-\x{84}\x{86}-\x{9F}]') then least(raw, 0.3) else raw end, 0), 1) end as score from s)
+        select doc_id, round(score, 6)::double as score, score < 0.85 as needs_ocr from r""".replace("WELL", _WELL).replace("CJK", _CJK).replace("B+", "[\\s\\x0b\\p{Z}\\x{85}]+"),
     "normalize_names": """
         with t as (select org_id, registered_name || ' - ' || town as t from organisations)
         select org_id, trim(regexp_replace(lower(strip_accents(t)), '[^\\p{L}\\p{M}\\p{N}]+', ' ', 'g')) as search_form, regexp_replace(lower(trim(t)), '\\s+', ' ', 'g') as scoring_form,
