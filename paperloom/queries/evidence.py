@@ -153,6 +153,9 @@ _NORM = "trim(regexp_replace(lower(strip_accents({0})), '[^\\p{{L}}\\p{{M}}\\p{{
 _INDEXED = SQL_DOCUMENTS + f", indexed as (select *, {_NORM.format('text')} as norm from docs)"
 
 
+_PLAIN = "regexp_replace(regexp_replace({0}::varchar, '(\\.\\d*?)0+$', '\\1'), '\\.$', '')"
+
+
 def _string_sql(column: str) -> str:
     return f"case when coalesce({column}, '') = '' then 'absent' when contains(text, {column}) then 'verbatim' when contains(norm, {_NORM.format(column)}) then 'normalized' else 'absent' end"
 
@@ -229,6 +232,14 @@ SQL = {
         ),
         chunks as (select doc, unnest(made) as n from step union all select doc, total + len(pages) - 1 from z where total <= 2000)
         select doc as inspection_id, count(*) as chunks, max(n)::int as longest, sum(n)::bigint as characters from chunks group by 1""".replace("WINDOW", str(chunk.SPLIT_WINDOW)).replace("\\\\", "\\"),
+    "merge_documents": f"""with {SQL_DOCUMENTS}, l as (select *, line_ix % 3 as chunk from lines),
+        p as (select doc_id, chunk, sum(amount)::decimal(18,2) as total, min(description) as seller from l group by all),
+        r as (select p.*, case when {_number_sql('p.total')} = 'verbatim' and (length(regexp_replace(p.total::varchar, '[^0-9]', '', 'g')) >= 3) then 2 else 0 end as tr, row_number() over (partition by doc_id order by chunk) as k from p join docs using (doc_id)),
+        b as (select doc_id, max(tr) as best, arg_min(total, (-tr, k)) as total, min(k) filter (true) as k0, arg_min(seller, k) as seller, arg_min(k, (-tr, k)) as won from r group by 1),
+        c as (select doc_id, count(*) filter (r.tr = best and r.k > won and r.total <> b.total) > 0 as tc, count(*) filter (r.seller <> b.seller) > 0 as sc from r join b using (doc_id) group by 1),
+        f as (select doc_id, description, amount, min((chunk, line_ix)) as first from l group by all),
+        i as (select doc_id, string_agg('{{"amount":' || {_PLAIN.format('amount')} || ',"description":"' || description || '"}}', ',' order by first) as items from f group by 1)
+        select doc_id, '{{"lineItems":[' || items || '],"seller":{{"name":"' || seller || '"}},"total":' || {_PLAIN.format('total')} || '}}' as merged, (tc::int + sc::int) as conflicts from b join c using (doc_id) join i using (doc_id)""",
     "merge_scalars": f"""with {SQL_DOCUMENTS}, p as (select doc_id, line_ix % 3 as chunk, sum(amount)::decimal(18,2) as total, min(description) as seller from lines group by all),
         r as (select p.*, case when contains(text, p.total::varchar) then 2 else 0 end as tr, case when contains(text, p.seller) then 2 else 0 end as sr from p join docs using (doc_id)),
         b as (select doc_id, max(tr) as mt, max(sr) as ms from r group by 1)
