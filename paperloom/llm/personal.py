@@ -4,7 +4,7 @@ Candidate spans come from loose grammars (mail addresses, digit groups, document
 postal addresses, runs of capitalised words).  Each candidate is an instance tied to lexical
 patterns: the folded words before it, the words behind it, and its own mask.  Seeds (known
 names and document numbers, shapes that speak for themselves) score the patterns they occur
-in, patterns score their instances, and so on for some rounds; instances reached by
+in, patterns score their instances, and so on until the scores stand; instances reached by
 high-confidence patterns are taken.  The scoring is Spark aggregation over the
 pattern-instance graph.
 """
@@ -23,7 +23,9 @@ from pyspark.sql.window import Window
 from paperloom.llm.scans import count_lexicon, fold
 from paperloom.session import checkpointed
 
-ROUNDS, ACCEPT, LEAST_INSTANCES = 3, 0.6, 3
+#: Scoring goes on until no score moves by more than SETTLED, at most for so many rounds.
+ROUNDS, SETTLED = 12, 0.05
+ACCEPT, LEAST_INSTANCES = 0.6, 3
 PLACEHOLDERS = {"email": "[EMAIL]", "phone": "[PHONE]", "id_number": "[ID_NUMBER]", "address": "[ADDRESS]", "person": "[PERSON]"}
 # Titles before a name, and parts of street names by language.
 TITLES = frozenset("mr mrs ms miss dr prof sir mme mlle m hr fr herr frau sr sra".split())
@@ -241,9 +243,10 @@ def find_personal(df: DataFrame, key: str, text: str, seed_names: DataFrame, see
         patterns = patterns.withColumn("worth", worth)
         strong = patterns.where((F.col("n") >= LEAST_INSTANCES) & (F.col("worth") >= F.when(F.col("kind") == "person", 0.7).otherwise(0.35)))
         lifted = edges.join(strong, ["kind", "pattern"]).groupBy("kind", "instance").agg(F.max("worth").alias("lift"))
-        state = checkpointed(
-            state.join(lifted, ["kind", "instance"], "left").select("kind", "instance", "seed", F.greatest("seed", F.coalesce(F.col("lift") * 0.98, F.lit(0.0))).alias("score"))
-        )
+        raised = F.greatest("seed", F.coalesce(F.col("lift") * 0.98, F.lit(0.0)))
+        state = checkpointed(state.join(lifted, ["kind", "instance"], "left").select("kind", "instance", "seed", raised.alias("score"), F.col("score").alias("was")))
+        if state.where(F.abs(F.col("score") - F.col("was")) > SETTLED).isEmpty():
+            break
 
     # A capitalised cue ("Applicant", "Name") is no part of the name behind it: it stands as
     # a strong word before names and is no known part of one.
@@ -266,11 +269,20 @@ def redact(df: DataFrame, key: str, text: str, mentions: DataFrame) -> DataFrame
     was.  A null text stays null, a text without mentions stays as it is."""
     spans = mentions.groupBy(F.col("id").alias(key)).agg(F.sort_array(F.collect_list(F.struct("begin", "end", "pii_kind"))).alias("_spans"))
     joined = df.select(F.col(key).cast("bigint").alias(key), F.col(text).alias("_text")).join(spans, key, "left")
-    labels = F.create_map(*[F.lit(x) for pair in PLACEHOLDERS.items() for x in pair])
-    start = F.struct(F.lit("").alias("done"), F.lit(0).alias("at"))
-    step = lambda acc, s: F.struct(
-        F.when(s["begin"] >= acc["at"], F.concat(acc["done"], F.substring(F.col("_text"), acc["at"] + 1, s["begin"] - acc["at"]), labels[s["pii_kind"]])).otherwise(acc["done"]).alias("done"),
-        F.greatest(acc["at"], s["end"]).alias("at"),
-    )
-    folded = F.aggregate("_spans", start, step, lambda acc: F.concat(acc["done"], F.substring(F.col("_text"), acc["at"] + 1, F.length("_text"))))
-    return joined.select(key, F.when(F.col("_spans").isNull(), F.col("_text")).otherwise(folded).alias("redacted"))
+
+    @F.pandas_udf("string")
+    def replaced(texts: pd.Series, begins: pd.Series, ends: pd.Series, kinds: pd.Series) -> pd.Series:
+        out = []
+        for whole, *marks in zip(texts, begins, ends, kinds):
+            if whole is None or marks[0] is None:
+                out.append(whole)
+                continue
+            parts, at = [], 0
+            for begin, end, kind in zip(*marks):
+                if begin >= at:
+                    parts += [whole[at:begin], PLACEHOLDERS[kind]]
+                at = max(at, end)
+            out.append("".join([*parts, whole[at:]]))
+        return pd.Series(out, dtype="object")
+
+    return joined.select(key, replaced("_text", "_spans.begin", "_spans.end", "_spans.pii_kind").alias("redacted"))
