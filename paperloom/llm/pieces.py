@@ -4,8 +4,8 @@ Boundaries are found where the lexical cohesion is least: the text's units (betw
 possible cuts) become rows of hashed word counts, blocks of units slide over them as
 differences of prefix sums, the cosine between the block before and the block behind a cut
 makes a curve, and a cut's depth is how far its valley lies under the hills around it.  In
-each size window the best kind of boundary wins (empty line, sentence end, line end, blank),
-and of its kind the deepest valley.
+each size window the deepest valley wins among the ends of paragraphs and sentences; only
+where there is none a line end is taken, then a blank.
 """
 
 from __future__ import annotations
@@ -31,6 +31,17 @@ _CUT = re.compile(r"\n[^\S\n]*\n\s*|(?<=[.!?…])[\"'”’»)\]]*\s+|[。！？
 _WORD = re.compile(r"\w+")
 
 
+class _Dimensions(dict):
+    """Words to their hashed dimensions, remembered within a worker."""
+
+    def __missing__(self, word: str) -> int:
+        value = self[word] = zlib.crc32(word.lower().encode("utf-8", "surrogatepass")) % DIMENSIONS
+        return value
+
+
+_DIMENSION_OF = _Dimensions()
+
+
 def possible_cuts(text: str) -> tuple[np.ndarray, np.ndarray]:
     """(offsets, kinds) of the natural boundaries inside a text; a cut falls behind its blanks."""
     at, kind = [], []
@@ -56,15 +67,17 @@ def valley_depths(text: str, cuts: np.ndarray) -> np.ndarray:
         return np.zeros(0)
     bounds = np.concatenate([[0], cuts, [len(text)]])
     similar = np.zeros(len(cuts))
+    known = _DIMENSION_OF
+    if len(known) > 200_000:
+        known.clear()
     for begin in range(0, len(cuts), SLAB):
         end = min(begin + SLAB, len(cuts))
         first, last = max(0, begin - BLOCK), min(len(bounds) - 1, end + 1 + BLOCK)
-        counts = np.zeros((last - first + 1, DIMENSIONS), np.float32)
-        base = bounds[first]
-        found = [(m.start(), zlib.crc32(m[0].lower().encode("utf-8", "surrogatepass")) % DIMENSIONS) for m in _WORD.finditer(text, int(base), int(bounds[last])) if m.end() - m.start() > 2 or not m[0].isascii()]
-        if found:
-            at, dimension = np.array(found, np.int64).T
-            np.add.at(counts, (np.searchsorted(bounds, at, "right") - first, dimension), 1)
+        base, wide = bounds[first], last - first + 1
+        found = [(m.start(), known[m[0]]) for m in _WORD.finditer(text, int(base), int(bounds[last])) if m.end() - m.start() > 2 or not m[0].isascii()]
+        at, dimension = np.array(found, np.int64).reshape(-1, 2).T
+        rows = np.searchsorted(bounds, at, "right") - first
+        counts = np.bincount(rows * DIMENSIONS + dimension, minlength=wide * DIMENSIONS)[: wide * DIMENSIONS].reshape(wide, DIMENSIONS).astype(np.float32)
         total = np.cumsum(counts, axis=0)
         here = np.arange(begin + 1, end + 1) - first
         left = total[here] - total[np.maximum(here - BLOCK, 0)]
@@ -112,7 +125,9 @@ class Cutter:
         i, j = np.searchsorted(self.cuts, [low, high + 1])
         if i >= j:
             return None
-        best = np.lexsort((self.cuts[i:j], self.depth[i:j], self.kinds[i:j]))[-1]
+        kinds = self.kinds[i:j]
+        # Of equal depth the better kind holds, then the longer piece.
+        best = np.lexsort((self.cuts[i:j], kinds, self.depth[i:j], np.minimum(kinds, SENTENCE)))[-1]
         return int(self.cuts[i + best])
 
 

@@ -36,3 +36,16 @@ def test_frame(spark):
     assert set(counts) == {10, 11, 12, 13, 15, 18, 19} and counts[11] == counts[12] == counts[13] == counts[15] == 1
     assert counts[18] > 100 and got.where("arm_id = 10 and length(piece) > 8").count() == 0
     assert cut_texts(texts.limit(0), demands, "inspection_id", "full_text", "arm_id", "budget", "overlap").count() == 0
+
+
+def test_deepest_valley_before_kind():
+    """The topic changes at a sentence end; an empty line inside a topic is no better place."""
+    rng = random.Random(2)
+    topics = [["river", "water", "boat", "fish", "shore", "flood", "canal"], ["ledger", "credit", "audit", "budget", "invoice", "profit", "tax"]]
+    say = lambda words: " ".join(rng.choice(words) for _ in range(8)).capitalize() + "."
+    for _ in range(10):
+        first, second = [say(topics[0]) for _ in range(20)], [say(topics[1]) for _ in range(20)]
+        text = " ".join(first[:16]) + "\n\n" + " ".join(first[16:]) + " " + " ".join(second)
+        change = text.index(second[0])
+        (begin, end), *rest = Cutter(text).pieces(change + 120, 10)
+        assert (begin, end) == (0, change) and rest[0][0] == change - 10
