@@ -9,17 +9,40 @@ from pyspark.sql import functions as F
 
 from paperloom.functions import coerce, dates, mrz, numbers, quality, text
 
-DECIMALS = [
-    ("12,50", None, "12.50"), ("12,50", "de_DE", "12.50"), ("12,50", "es_ES", "12.50"), ("12,50", "en_US", "1250"), ("12.50", None, "12.50"), ("12.50", "en_US", "12.50"), ("12.50", "de_DE", "1250"),
-    ("1.234,56", "de_DE", "1234.56"), ("1,234.56", "en_US", "1234.56"), ("(12.5)", None, "-12.5"), ("−12.5", None, "-12.5"), ("1,12 -", None, "-1.12"), ("1,12-", "de_DE", "-1.12"), ("12+", None, "12"), ("5.", None, "5"), (".5", None, "0.5"),
-    ("1.5E2", None, "150"), ("2e-2", None, "0.02"), ("(-1e3)", None, "-1000"), ("EUR 12", None, "12"), ("$1,234", None, "1234"), ("1,234,567", None, "1234567"), (None, None, None),
-    *[(bad, None, None) for bad in ("--12", "-12-", "12--", "1.2.3", "1.234.56", "1,234,56", "e10", "1eUSD3", "1e2.5", "((12))", "12 - 5", "(-1e3-)", "½", "NaN", "null", "EUR", "", "  ", "٣", "1e127")],
-]
+MARKS = {"en_US": (",", "."), "de_DE": (".", ","), "es-MX": None, "pl_PL": (".", ","), "ja_JP": (",", "."), None: None}
+
+
+def _written(rng):
+    """(text, locale, value): a number in one of the ways in which people write it."""
+    locale = rng.choice(["en_US", "de_DE", "pl_PL", "ja_JP", None])
+    grouping, decimal = MARKS[locale] or rng.choice([(",", "."), (".", ",")])
+    whole, cents = rng.choice([rng.randrange(10), rng.randrange(1000), rng.randrange(10**7)]), f"{rng.randrange(100):02}"
+    body = f"{whole:,}".replace(",", grouping) if rng.random() < 0.5 else str(whole)
+    value, body = Decimal(f"{whole}.{cents}"), f"{body}{decimal}{cents}"
+    front, behind, factor = rng.choice([("", "", 1), ("-", "", -1), ("−", "", -1), ("+", "", 1), ("", "-", -1), ("", " -", -1), ("", "+", 1), ("(", ")", -1)])
+    if rng.random() < 0.3 and not front and not behind:
+        front = rng.choice(["EUR ", "$", "CHF ", "£"])
+    return f"{front}{body}{behind}", locale, value * factor
+
+
+def _scientific(rng):
+    mantissa, power = Decimal(rng.randrange(1, 1000)) / 10, rng.randrange(-6, 9)
+    return f"{mantissa}{rng.choice('eE')}{power:{rng.choice(['', '+'])}}", None, mantissa.scaleb(power)
+
+
+def _meaningless(rng):
+    """Texts that can be read as no number, or as two."""
+    n, m, k = rng.randrange(10, 99), rng.randrange(10, 99), rng.randrange(1, 9)
+    return rng.choice([f"-{n}-", f"--{n}", f"{n}--", f"{n} - {m}", f"(({n}))", f"{k}.{n}.{m}", f"{k},{n},{m}", f"e{n}", f"{k}e{n}e{m}", f"{k}e{k}.{k}", f"{n}e{n + 128}", "¾", "٤٥", "none", "CHF", " \t"]), None, None
 
 
 def test_decimals(spark):
-    df = spark.createDataFrame(DECIMALS, "s string, l string, want string")
-    for row in df.select("s", "want", numbers.parse_decimal(F.col("s"), F.col("l")).alias("got")).collect():
+    rng = random.Random(23)
+    cases = [f(rng) for f in (_written, _scientific, _meaningless) for _ in range(250)] + [("", None, None), (None, None, None), ("  7 ", None, Decimal(7)), (".5", None, Decimal("0.5")), ("8.", None, Decimal(8))]
+    # The mark that only groups in a locale parts no decimals there.
+    cases += [(f"{n},{n}", "en_US", Decimal(f"{n}{n}")) for n in (31, 64)] + [(f"{n}.{n}", "de_DE", Decimal(f"{n}{n}")) for n in (31, 64)]
+    df = spark.createDataFrame([(t, loc, None if v is None else str(v)) for t, loc, v in cases], "s string, l string, want string")
+    for row in df.select("s", "l", "want", numbers.parse_decimal(F.col("s"), F.col("l")).alias("got")).collect():
         assert row.got == (None if row.want is None else Decimal(row.want)), row
 
 
@@ -47,7 +70,11 @@ def test_numbers(spark):
 
 @pytest.mark.parametrize(
     "written, locale, day",
-    [("03/04/2020", "en_US", "2020-03-04"), ("03/04/2020", "es_ES", "2020-04-03"), ("2020-13-01", None, None), ("32/13/2020", None, None), ("2012-04-31T00:00:00Z", None, None), ("15 MAR 1990", None, "1990-03-15"), ("Mar 5, 2020", None, "2020-03-05"), ("", None, None), (None, None, None)],
+    [
+        *[("07/09/2018", tag, "2018-07-09") for tag in ("en_US", "en", "en-CA", "EN_ph", "zh", "zh_Hant_TW", "ja", "ko", "hu", "lt_LT", "fil", "fr-CA", "es_PR", "", None)],
+        *[("07/09/2018", tag, "2018-09-07") for tag in ("en_GB", "en-IN", "de", "fr", "es_MX", "it_IT", "sv_SE", "zh_HK", "se_FI", "pt-BR", "xx")],
+        ("26/09/2018", "en_US", "2018-09-26"), ("2021-02-30", None, None), ("45/19/2021", None, None), ("2019-06-31T10:00:00Z", None, None), ("28 FEB 2016", None, "2016-02-28"), ("Oct 9, 2011", "de", "2011-10-09"), (" ", "en", None), (None, "en", None),
+    ],
 )
 def test_dates(spark, written, locale, day):
     df = spark.createDataFrame([(written, locale)], "s string, l string")
