@@ -49,8 +49,10 @@ PAIRS = {"“": "”", "„": "“”", "«": "»", "「": "」", "『": "』",
 #: insides), paragraph starts, places behind a stop and in the middle; N is a script's end
 #: without a stop.
 TAGS = "EOLSAMN"
-#: Weight of the overall share in a transition, and the most that one can say.
-SMOOTH, MOST = 20.0, 0.75
+#: Weight of the overall share in a transition, and the most that one can say: less than half of
+#: the weakest emission that is sure, since the tags transitions are counted from are not drawn
+#: at random.
+SMOOTH, MOST = 20.0, 0.45
 #: What one broken rule of quotations costs.
 RULE = 20.0
 
@@ -231,24 +233,24 @@ class Model:
         return ended * math.log(self.rate / 0.004) + going * (self.stay - math.log(0.996)) < -5
 
     def starter(self, key: str) -> float:
-        """Log-odds that a token opens a sentence, by how often it opens a paragraph."""
+        """Log-odds that a token opens a sentence, by how often it opens a paragraph; nought
+        where they are too weak to decide, so that such tokens need not be held."""
         c = self.counts.get(("right", key), {})
         opened, after = c.get("S", 0), c.get("A", 0)
-        return max(min(opened * math.log(self.rate / 0.004) + after * self.stay, 6.0), -24.0)
+        score = max(min(opened * math.log(self.rate / 0.004) + after * self.stay, 6.0), -24.0)
+        cased = key[:1].lower() != key[:1].upper()
+        return score if score >= 1 or cased and score <= -1 else 0.0
 
     def named(self, key: str) -> bool:
         c = self.counts.get(("right", key), {})
         return c.get("M", 0) > c.get("S", 0) and c.get("M", 0) * 5 > c.get("A", 0)
 
     def tells(self, kind: str, key: str) -> bool:
-        """Whether some emission() has another sign for this key than for one never seen."""
+        """Whether emission() ever differs between this key and one never seen."""
         if kind == "left":
             return key == "" or self.abbreviation(key)
         if kind == "right":
-            first, score = key[:1], self.starter(key)
-            if first.lower() == first.upper():
-                return score >= 1 and not first.isdigit()
-            return self.named(key) or score <= -1 or score >= 2 and key.isupper() and len(key) <= 4
+            return self.named(key) or self.starter(key) != 0
         return True
 
     def emission(self, text: str, begin: int, end: int, mark: tuple[int, int, bool]) -> float:

@@ -85,13 +85,15 @@ def test_chain_against_single_thresholds():
 
 
 def test_transitions_decide():
-    """A weak stop right behind one that ended nothing ends nothing, if the corpus says so."""
-    text = "Siehe bzw. 3. Mai und 5. Juni."
-    pairs = {("pair", "Ld2"): {"L": 500, "E": 2}, ("pair", "Ed5"): {"E": 400, "L": 400}, ("pair", "Ld5"): {"E": 300, "L": 100}}
-    left = {("left", "bzw"): {"L": 500}}
-    assert 13 in boundaries(text, Model(left))
-    assert 13 not in boundaries(text, Model(left | pairs))
-    assert Model(left | pairs).turns[0, 0, "d2"] > 0 > Model(left | pairs).turns[0, 1, "d2"]
+    """A weak stop right behind one that ended nothing is a boundary if the corpus has it so."""
+    text = "Siehe bzw. 3. Mai und so fort."
+    counts = {("left", "bzw"): {"L": 500}, ("right", "Mai"): {"A": 7}}
+    pairs = {("pair", "Ld2"): {"E": 500, "L": 2}, ("pair", "Ed5"): {"E": 400, "L": 400}, ("pair", "Ld5"): {"E": 300, "L": 300}}
+    mark = candidates(text, 0, len(text))[1]
+    assert -0.9 < Model(counts | pairs).emission(text, 0, len(text), mark) < 0
+    assert boundaries(text, Model(counts)) == [30]
+    assert boundaries(text, Model(counts | pairs)) == [13, 30]
+    assert Model(counts | pairs).turns[0, 1, "d2"] > 0 > Model(counts | pairs).turns[0, 0, "d2"]
 
 
 def test_blanks_learned_from_stripped_text():
