@@ -23,6 +23,7 @@ CELL_GAP, REGION_GAP, REGION_HEIGHTS, ORPHAN = 0.018, 0.12, 5.0, 1.25
 CLUSTER, SEPARATE, REACH, GUTTER = 0.05, 0.04, 0.075, 0.03
 CORRIDOR, CORRIDOR_OVERLAP, CORRIDOR_FACTOR, SHARED_SHORT, SHARED_BOTH = 0.06, 0.25, 1.25, 0.80, 0.50
 DEPTH, DENSITY, BAND_GAP, WORDS, WIDTH, ROW_OVERLAP = 3, 0.55, 0.09, 6, 0.28, 0.25
+# Words of table headings.
 HEADER_WORDS = ("item", "items", "description", "desc", "qty", "quantity", "qty.", "price", "amount", "total", "unit", "date", "name", "product", "sku", "cost", "rate", "hours", "tax", "subtotal", "code", "id", "no", "no.", "#")
 
 
@@ -71,11 +72,19 @@ def merged_cells(blocks: DataFrame, *row: str) -> DataFrame:
 
 def regions(rows: DataFrame, page: list[str], median_height: str) -> DataFrame:
     """Rows of a page (``y`` of their tops) numbered by region: a vertical gap of at least
-    max(0.12, 5 heights) opens one."""
+    max(0.12, 5 heights) opens one.  A region of one row alone takes the next one in, if the
+    gap between them is less than a quarter above that."""
     order = Window.partitionBy(*page).orderBy("y")
     gap = F.col("y") - F.lag("y").over(order)
-    opens = F.when(gap >= F.greatest(F.lit(REGION_GAP), REGION_HEIGHTS * F.col(median_height)), 1).otherwise(0)
-    return rows.withColumn("_opens", opens).withColumn("region", F.sum("_opens").over(order)).drop("_opens")
+    limit = F.greatest(F.lit(REGION_GAP), REGION_HEIGHTS * F.col(median_height))
+    marked = rows.withColumns({"_opens": F.coalesce(gap >= limit, F.lit(True)), "_short": F.coalesce((gap >= limit) & (gap < limit * ORPHAN), F.lit(False))})
+    # Short gaps in a row open and join by turns, beginning with what the row before them did.
+    marked = marked.withColumn("_turn", F.sum(F.when(F.col("_short"), 0).otherwise(1)).over(order))
+    turn = Window.partitionBy(*page, "_turn").orderBy("y")
+    before, place = F.first("_opens").over(turn).cast("int"), F.row_number().over(turn) - 1
+    opened = marked.withColumn("_new", (before + place) % 2)
+    opened = opened.withColumn("_new", F.when(F.col("_short"), F.col("_new")).otherwise(F.col("_opens").cast("int")))
+    return opened.withColumn("region", F.sum("_new").over(order) - 1).drop("_opens", "_short", "_turn", "_new")
 
 
 def largest_gap(blocks: DataFrame, page: list[str], at: str, side: int) -> DataFrame:

@@ -162,8 +162,10 @@ SQL = {
     "cell_merge_islands": f"""with {_W}, e as (select *, max(x + w) over (partition by doc_id, page, block_id order by x, w, word rows between unbounded preceding and 1 preceding) as edge from words),
         n as (select *, sum(case when edge is null or x - edge > 0.018 then 1 else 0 end) over (partition by doc_id, page, block_id order by x, w, word rows unbounded preceding) - 1 as cell_no from e)
         select doc_id, page, block_id, cell_no, string_agg(word, ' ' order by x, w, word) as text, count(*) as parts from n group by all""",
-    "region_islands": f"""with {_B}, r as (select doc_id, page, round(y, 4) as y, max(h) as h from b group by all), g as (select *, case when y - lag(y) over (partition by doc_id, page order by y) >= greatest(0.12, 5 * h) then 1 else 0 end as o from r)
-        select doc_id, page, sum(o) + 1 as regions, count(*) as rows from g group by all""",
+    "region_islands": f"""with recursive {_B}, r as (select doc_id, page, round(y, 4) as y, max(h) as h from b group by all), g as (select *, y - lag(y) over w as gap, greatest(0.12, 5 * h) as lim, row_number() over w as k from r window w as (partition by doc_id, page order by y)),
+        walk as (select doc_id, page, k, 1 as opened from g where k = 1 union all
+            select g.doc_id, g.page, g.k, case when g.gap >= g.lim and not (walk.opened = 1 and g.gap < g.lim * 1.25) then 1 else 0 end from walk join g on g.doc_id = walk.doc_id and g.page is not distinct from walk.page and g.k = walk.k + 1)
+        select doc_id, page, sum(opened)::bigint as regions, count(*) as rows from walk group by all""",
     "largest_gap": f"""with {_B}, r as (select distinct doc_id, page, round(y, 4) as y from b), g as (select *, lead(y) over w as z, row_number() over w as n, count(*) over (partition by doc_id, page) as m from r window w as (partition by doc_id, page order by y)),
         f as (select *, z - y as gap from g where n >= 2 and m - n >= 2), k as (select *, row_number() over (partition by doc_id, page order by gap desc, y) as best from f) select doc_id, page, round(gap, 6) as gap, round((z + y) / 2, 6) as cut from k where best = 1""",
     "table_density_shape": f"""with {_GRID}, d as (select doc_id, count(*) + 1 as rows, 3 + sum((a <> '')::int + (q <> '')::int + (p <> '')::int) as filled from grid group by 1) select doc_id, round(filled / (rows * 3), 6) as density, rows >= 3 and filled / (rows * 3) >= 0.8 as shaped, true as heading from d""",

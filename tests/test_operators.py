@@ -279,3 +279,12 @@ def test_resolve_files(spark):
     tokens = spark.createDataFrame([("B.PDF",), ("a",), ("zz",), ("",), (None,), ("x/",)], "token string")
     files = spark.createDataFrame([("/x/b.pdf", 1), ("/x/ab.pdf", 2), (None, 3), ("", 4), ("/x/ab.pdf", 5)], "path string, size int")
     assert sorted(map(tuple, resolve_files(tokens, files).collect())) == [("B.PDF", "/x/ab.pdf"), ("a", "/x/ab.pdf"), ("x/", "/x/ab.pdf")]
+
+
+def test_regions_take_in_orphans(spark):
+    """A lone row takes the next one in over a gap a little too wide; a region of two does not."""
+    ys = [0.0, 0.13, 0.27, 0.41, 0.55, 0.57, 0.70, 0.90]
+    rows = spark.createDataFrame([(1, y, 0.01) for y in ys] + [(2, 0.5, 0.01)], "page int, y double, h double")
+    got = layout.regions(rows, ["page"], "h").orderBy("page", "y").collect()
+    assert [r.region for r in got] == [0, 0, 1, 1, 2, 2, 3, 4, 0]
+    assert layout.regions(rows.limit(0), ["page"], "h").count() == 0
