@@ -53,8 +53,8 @@ TAGS = "EOLSAMN"
 #: the weakest emission that is sure, since the tags transitions are counted from are not drawn
 #: at random.
 SMOOTH, MOST = 20.0, 0.45
-#: What one broken rule of quotations costs.
-RULE = 20.0
+#: What one broken rule of quotations costs, and what its further boundaries weigh.
+RULE, INNER = 20.0, 1e-6
 
 _CANDIDATE = regex.compile(r"[.!?…。！？।॥؟۔．｡။។៕]+(?:[   ]?[»›]|[\"'”’)\]」』）】]|(?<=[.!?…])“)*")
 _TOKEN = regex.compile(r"[\p{L}\p{M}\p{N}][\p{L}\p{M}\p{N}.'’-]*")
@@ -384,8 +384,10 @@ def _decode(text: str, begin: int, end: int, marks: list[tuple[int, int, bool]],
                 keep(after, (0, OUT), value + off - (RULE if mode == SPLIT else 0.0), path)
                 keep(after, (1, OUT), value + on + score, (stop, path))
             else:
-                keep(after, (0, mode), value + off, path)
-                keep(after, (1, SPLIT if mode in (FRESH, SPLIT) else mode), value + on + score - (RULE if mode == BOUND else 0.0), (stop, path))
+                # A quotation is split or not; how many sentences it holds must not outvote its end.
+                weight = INNER if mode == SPLIT else 1.0
+                keep(after, (0, mode), value + weight * off, path)
+                keep(after, (1, SPLIT if mode in (FRESH, SPLIT) else mode), value + weight * (on + score) - (RULE if mode == BOUND else 0.0), (stop, path))
         best, at = after, stop
         if closes:
             open_now = -1
