@@ -2,19 +2,20 @@
 
 from __future__ import annotations
 
-import re
 import unicodedata
 from collections.abc import Iterator
+from functools import cached_property
 
-import pandas as pd
+import pyarrow as pa
 import regex
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from paperloom.functions.numbers import MINUSES
 from paperloom.functions.text import trimmed
-from paperloom.operators.json_text import canonical, compact, find_record, loads, number_text
+from paperloom.operators.json_text import alike, canonical, compact, number_text, read_record
 
+_SIGNS = frozenset("-" + MINUSES)
 _OTHER = regex.compile(r"[^\p{L}\p{M}\p{N}]+")
 
 
@@ -27,15 +28,29 @@ def search_form(text: str) -> str:
 
 
 def _signed_within(text: str, number: str) -> bool:
-    lead = "" if number.startswith("-") else f"(?<![-{MINUSES}])"
-    return re.search(lead + re.escape(number), text) is not None
+    """Does the text hold the number, one without a sign behind no minus?"""
+    at = text.find(number)
+    if number.startswith("-"):
+        return at >= 0
+    while at > 0 and text[at - 1] in _SIGNS:
+        at = text.find(number, at + 1)
+    return at >= 0
 
 
 class Document:
-    """A document's text and its search form, made once."""
+    """A document's text; its search form and the text without commas are made once, where a
+    value is not in it verbatim."""
 
     def __init__(self, text: str):
-        self.raw, self.normal = text, search_form(text)
+        self.raw = text
+
+    @cached_property
+    def normal(self) -> str:
+        return search_form(self.raw)
+
+    @cached_property
+    def plain(self) -> str:
+        return self.raw.replace(",", "")
 
     def rank(self, value) -> int:
         """How well a scalar is grounded: 2 verbatim, 1 normalised, 0 not."""
@@ -47,13 +62,14 @@ class Document:
             form = search_form(value)
             return 1 if form and form in self.normal else 0
         text = number_text(value)
-        if not (sum(c.isdigit() for c in text) >= 3 or re.search("[.,]", text)):
+        if not ("." in text or "," in text or sum(map(str.isdigit, text)) >= 3):
             return 0
+        if _signed_within(self.raw, text):
+            return 2
         forms = dict.fromkeys([text, f"{value:.2f}", f"{value:.0f}" if value == int(value) else f"{value:.1f}"])
         if any(_signed_within(self.raw, f) for f in forms):
             return 2
-        plain = self.raw.replace(",", "")
-        return 1 if any(_signed_within(plain, f) for f in forms) else 0
+        return 1 if any(_signed_within(self.plain, f) for f in forms) else 0
 
     def holds_entry(self, entry) -> bool:
         """Has an array entry a string leaf that is in the document, or half its tokens?"""
@@ -61,8 +77,10 @@ class Document:
         if not leaves:
             return True
         for leaf in leaves:
+            if leaf in self.raw:
+                return True
             form = search_form(leaf)
-            if leaf in self.raw or form and form in self.normal:
+            if form and form in self.normal:
                 return True
             tokens = [t for t in form.split() if len(t) >= 3]
             if tokens and sum(t in self.normal for t in tokens) * 2 >= len(tokens):
@@ -81,15 +99,20 @@ def _strings(value) -> Iterator[str]:
             yield from _strings(v)
 
 
-def distinct_entries(entries: list) -> list:
-    """First of structurally equal entries."""
-    seen, out = set(), []
-    for entry in entries:
-        form = canonical(entry)
-        if form not in seen:
-            seen.add(form)
-            out.append(entry)
-    return out
+class Entries(list):
+    """Of structurally equal entries the first, and the forms of all, made once."""
+
+    def __init__(self, entries: list):
+        super().__init__()
+        self.forms: set = set()
+        self.join(entries)
+
+    def join(self, entries: list) -> None:
+        for entry in entries:
+            form = canonical(entry)
+            if form not in self.forms:
+                self.forms.add(form)
+                self.append(entry)
 
 
 def merge_partials(partials: list[str | None], text: str) -> tuple[str, list[tuple[str, list[str]]]]:
@@ -103,8 +126,8 @@ def merge_partials(partials: list[str | None], text: str) -> tuple[str, list[tup
     conflicts: dict[str, list] = {}
 
     def clash(path: str, a, b) -> None:
-        held = conflicts.setdefault(path, [a])
-        if canonical(b) not in [canonical(x) for x in held]:
+        held = conflicts.setdefault(path, [list(a) if isinstance(a, Entries) else a])
+        if not any(alike(b, x) for x in held):
             held.append(b)
 
     def into(left: dict, right: dict, path: str) -> dict:
@@ -112,13 +135,15 @@ def merge_partials(partials: list[str | None], text: str) -> tuple[str, list[tup
             here = f"{path}.{key}" if path else key
             old = left.get(key)
             if old is None:
-                left[key] = distinct_entries(new) if isinstance(new, list) else new
-            elif new is None or canonical(old) == canonical(new):
+                left[key] = Entries(new) if isinstance(new, list) else new
+            elif new is None or alike(old, new):
                 continue
             elif isinstance(old, dict) and isinstance(new, dict):
                 left[key] = into(old, new, here)
             elif isinstance(old, list) and isinstance(new, list):
-                left[key] = distinct_entries(old + new)
+                if not isinstance(old, Entries):
+                    old = left[key] = Entries(old)
+                old.join(new)
             elif isinstance(old, (dict, list)) or isinstance(new, (dict, list)):
                 clash(here, old, new)
             else:
@@ -131,17 +156,22 @@ def merge_partials(partials: list[str | None], text: str) -> tuple[str, list[tup
         return left
 
     def pruned(value):
+        """The value itself where no array is in it."""
         if isinstance(value, dict):
-            return {k: pruned(v) for k, v in value.items()}
+            made = {k: pruned(v) for k, v in value.items()}
+            return value if all(made[k] is v for k, v in value.items()) else made
         if isinstance(value, list):
-            return distinct_entries([pruned(v) for v in value if document.holds_entry(v)])
+            held = [v for v in value if document.holds_entry(v)]
+            made = [pruned(v) for v in held]
+            unchanged = isinstance(value, Entries) and all(a is b for a, b in zip(made, held))
+            return made if unchanged else list(Entries(made))
         return value
 
     merged: dict = {}
     for partial in partials:
-        found = find_record(partial)
+        found = read_record(partial)
         if found is not None:
-            merged = into(merged, loads(found), "")
+            merged = into(merged, found, "")
     if text:
         merged = pruned(merged)
     return compact(merged), sorted((path, [compact(v) for v in values]) for path, values in conflicts.items() if len(values) > 1)
@@ -155,15 +185,17 @@ def merge_documents(partials: DataFrame, docs: DataFrame, key: str = "doc_id") -
     folded = partials.groupBy(key).agg(F.transform(F.sort_array(F.collect_list(F.struct("chunk", "json"))), lambda p: p["json"]).alias("_p"))
     joined = folded.join(docs.select(key, F.col("text").alias("_t")), key, "left").select(F.col(key).alias("_k"), "_p", "_t")
 
-    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    conflicts_type = pa.list_(pa.struct([("path", pa.string()), ("values", pa.list_(pa.string()))]))
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            rows = []
-            for k, p, t in zip(batch["_k"], batch["_p"], batch["_t"]):
-                merged, conflicts = merge_partials(list(p), t or "")
-                rows.append((k, merged, [{"path": path, "values": values} for path, values in conflicts]))
-            yield pd.DataFrame(rows, columns=[key, "merged", "conflicts"])
+            keys, partials, texts = batch.columns
+            folds = [merge_partials(p, t or "") for p, t in zip(partials.to_pylist(), texts.to_pylist())]
+            conflicts = [[{"path": path, "values": values} for path, values in found] for _, found in folds]
+            made = [keys, pa.array([merged for merged, _ in folds], pa.string()), pa.array(conflicts, conflicts_type)]
+            yield pa.RecordBatch.from_arrays(made, names=[key, "merged", "conflicts"])
 
-    return joined.mapInPandas(run, f"`{key}` {kind}, merged string, conflicts array<struct<path string, values array<string>>>")
+    return joined.mapInArrow(run, f"`{key}` {kind}, merged string, conflicts array<struct<path string, values array<string>>>")
 
 
 def merge_scalars(partials: DataFrame, key: str, order: str, columns: dict[str, Column]) -> DataFrame:

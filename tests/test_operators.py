@@ -72,6 +72,30 @@ def test_merge(partials, merged, conflicts):
     assert json.loads(got) == merged and [c[0] for c in clashes] == conflicts
 
 
+def test_merge_makes_forms_once(monkeypatch):
+    """Of each entry one form however many partials follow, and no search form of a document whose
+    values are in it verbatim."""
+    made, searched = [], []
+    canonical, search_form = merge.canonical, merge.search_form
+    monkeypatch.setattr(merge, "canonical", lambda v: made.append(v) or canonical(v))
+    monkeypatch.setattr(merge, "search_form", lambda t: searched.append(t) or search_form(t))
+    items = [f"Blue lamp {n}" for n in range(60)]
+    got, clashes = merge.merge_partials([json.dumps({"total": 119.5, "i": [{"d": d}]}) for d in items], f"{TEXT} {', '.join(items)}")
+    assert json.loads(got) == {"total": 119.5, "i": [{"d": d} for d in items]} and not clashes
+    assert sum(isinstance(v, dict) for v in made) == 60 and searched == []
+
+
+def test_merge_conflict_keeps_its_array():
+    """An array that clashed with a scalar stays in the conflict as it was then."""
+    got, clashes = merge.merge_partials(['{"i": ["Blue"]}', '{"i": 1}', '{"i": ["lamp", " Blue "]}'], TEXT)
+    assert json.loads(got) == {"i": ["Blue", "lamp"]} and clashes == [("i", ['["Blue"]', "1"])]
+
+
+def test_signs_of_merged_numbers():
+    document = merge.Document("paid -119.50 of 2119.5, \u22127.25 and 7.25")
+    assert [document.rank(json_text.loads(n)) for n in ("119.5", "-119.5", "7.25", "-7.25", "8.25")] == [2, 2, 2, 0, 0]
+
+
 def test_merge_documents(spark):
     partials = spark.createDataFrame([(1, 1, '{"total": 2}'), (1, 0, '{"total": 119.5}'), (2, 0, None)], "doc_id bigint, chunk int, json string")
     docs = spark.createDataFrame([(1, TEXT), (2, None)], "doc_id bigint, text string")
