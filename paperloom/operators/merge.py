@@ -5,6 +5,7 @@ from __future__ import annotations
 import unicodedata
 from collections.abc import Iterator
 from functools import cached_property
+from operator import is_
 
 import pyarrow as pa
 import regex
@@ -73,7 +74,7 @@ class Document:
 
     def holds_entry(self, entry) -> bool:
         """Has an array entry a string leaf that is in the document, or half its tokens?"""
-        leaves = [s for s in _strings(entry) if s.strip()]
+        leaves = _filled(entry)
         if not leaves:
             return True
         for leaf in leaves:
@@ -88,15 +89,20 @@ class Document:
         return False
 
 
-def _strings(value) -> Iterator[str]:
-    if isinstance(value, str):
-        yield value
-    elif isinstance(value, dict):
-        for v in value.values():
-            yield from _strings(v)
-    elif isinstance(value, list):
-        for v in value:
-            yield from _strings(v)
+def _filled(value) -> list[str]:
+    """The strings in a value that are not blank."""
+    if type(value) is str:
+        return [value] if value.strip() else []
+    if type(value) is not dict and not isinstance(value, list):
+        return []
+    out: list[str] = []
+    for v in value.values() if type(value) is dict else value:
+        if type(v) is str:
+            if v.strip():
+                out.append(v)
+        elif type(v) is dict or isinstance(v, list):
+            out += _filled(v)
+    return out
 
 
 class Entries(list):
@@ -157,13 +163,19 @@ def merge_partials(partials: list[str | None], text: str) -> tuple[str, list[tup
 
     def pruned(value):
         """The value itself where no array is in it."""
-        if isinstance(value, dict):
-            made = {k: pruned(v) for k, v in value.items()}
-            return value if all(made[k] is v for k, v in value.items()) else made
+        if type(value) is dict:
+            made = None
+            for k, v in value.items():
+                if type(v) is dict or isinstance(v, list):
+                    below = pruned(v)
+                    if below is not v:
+                        made = dict(value) if made is None else made
+                        made[k] = below
+            return value if made is None else made
         if isinstance(value, list):
             held = [v for v in value if document.holds_entry(v)]
             made = [pruned(v) for v in held]
-            unchanged = isinstance(value, Entries) and all(a is b for a, b in zip(made, held))
+            unchanged = isinstance(value, Entries) and all(map(is_, made, held))
             return made if unchanged else list(Entries(made))
         return value
 
@@ -185,15 +197,22 @@ def merge_documents(partials: DataFrame, docs: DataFrame, key: str = "doc_id") -
     folded = partials.groupBy(key).agg(F.transform(F.sort_array(F.collect_list(F.struct("chunk", "json"))), lambda p: p["json"]).alias("_p"))
     joined = folded.join(docs.select(key, F.col("text").alias("_t")), key, "left").select(F.col(key).alias("_k"), "_p", "_t")
 
-    conflicts_type = pa.list_(pa.struct([("path", pa.string()), ("values", pa.list_(pa.string()))]))
-
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             keys, partials, texts = batch.columns
-            folds = [merge_partials(p, t or "") for p, t in zip(partials.to_pylist(), texts.to_pylist())]
-            conflicts = [[{"path": path, "values": values} for path, values in found] for _, found in folds]
-            made = [keys, pa.array([merged for merged, _ in folds], pa.string()), pa.array(conflicts, conflicts_type)]
-            yield pa.RecordBatch.from_arrays(made, names=[key, "merged", "conflicts"])
+            at, jsons = partials.offsets.to_pylist(), partials.values.to_numpy(zero_copy_only=False).tolist()
+            records, paths, values, path_at, value_at = [], [], [], [0], [0]
+            for i, text in enumerate(texts.to_numpy(zero_copy_only=False).tolist()):
+                merged, conflicts = merge_partials(jsons[at[i]:at[i + 1]], text or "")
+                records.append(merged)
+                for path, rivals in conflicts:
+                    paths.append(path)
+                    values += rivals
+                    value_at.append(len(values))
+                path_at.append(len(paths))
+            rivals = pa.ListArray.from_arrays(pa.array(value_at, pa.int32()), pa.array(values, pa.string()))
+            clashes = pa.StructArray.from_arrays([pa.array(paths, pa.string()), rivals], names=["path", "values"])
+            yield pa.RecordBatch.from_arrays([keys, pa.array(records, pa.string()), pa.ListArray.from_arrays(pa.array(path_at, pa.int32()), clashes)], names=[key, "merged", "conflicts"])
 
     return joined.mapInArrow(run, f"`{key}` {kind}, merged string, conflicts array<struct<path string, values array<string>>>")
 
